@@ -106,15 +106,15 @@ def _batch(ids, rows) -> pa.RecordBatch:
     return pa.record_batch([ids, pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.string()), pa.array(cols[4], pa.bool_())], ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
 
 
-def _scanner(shared):
-    """Rows of OUT for documents, by the broadcast index: prefix shingle -> (offset, words, items)."""
+def _scanner(shared, text_at: int | None = None):
+    """By the broadcast index, prefix shingle -> (offset, words, items): rows of OUT for (doc_id, text), or the rows whose text, column ``text_at``, is clean."""
 
     def run(batches):
         index, widths = shared.value
         find = Lookup(np.array(list(index), np.int64).view(np.uint64))
         for batch in batches:
             rows = []
-            for i, j, block in tb.blocks(batch.column(1), tb.ALNUM):
+            for i, j, block in tb.blocks(batch.column(1 if text_at is None else text_at), tb.ALNUM):
                 h = block.hashes()
                 spans, items = defaultdict(list), defaultdict(set)
                 for k in widths:
@@ -131,7 +131,7 @@ def _scanner(shared):
                             items[r].update(names)
                 n = block.counts.tolist()
                 rows += [_row(n[r], spans.get(r, ()), items.get(r, ())) for r in range(j - i)]
-            yield _batch(batch.column(0), rows)
+            yield _batch(batch.column(0), rows) if text_at is None else batch.filter(pa.array([not r[4] for r in rows], pa.bool_()))
 
     return run
 
@@ -172,19 +172,15 @@ def _verify(batches):
         yield _batch(batch.column(0), rows)
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text): words, words hit, items with occurring windows and their digest.
-
-    ``benchmark`` has (item_id, text). Other columns are not read. An empty benchmark hits nothing.
-    """
+def _prepared(docs: DataFrame, benchmark: DataFrame, broadcast_windows: int):
+    """(windows, widths, index to send to the tasks or None where the windows are too many)."""
     spark = docs.sparkSession
     bound_batches(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     pieces = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").mapInArrow(item_windows, "item_id long, words string, shingles array<long>, width int")
     windows = cut(pieces.groupBy("words").agg(F.array_sort(F.collect_set("item_id")).alias("items"), F.min("shingles").alias("shingles"), F.min("width").alias("width")))
     widths = sorted(r[0] for r in windows.select("width").distinct().collect())
     if windows.count() > broadcast_windows:
-        return _shuffled(docs, windows, widths)
+        return windows, widths, None
     held = windows.collect()
     wanted = np.unique(np.array([s for w in held for s in w["shingles"]], np.int64)).view(np.uint64)
     counts = docs.select("text").mapInArrow(_counter(spark.sparkContext.broadcast((wanted, widths))), "shingle long, n long")
@@ -195,7 +191,17 @@ def contamination(docs: DataFrame, benchmark: DataFrame, broadcast_windows: int
         at = min(range(len(s)), key=lambda x: (often.get(s[x], 0), s[x]))
         if often.get(s[at], 0):  # no document has it otherwise
             index[s[at]].append((at, w["words"].encode().split(b" "), w["items"]))
-    return docs.mapInArrow(_scanner(spark.sparkContext.broadcast((dict(index), widths))), OUT)
+    return windows, widths, spark.sparkContext.broadcast((dict(index), widths))
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
+    """One row per row of ``docs`` (doc_id, text): words, words hit, items with occurring windows and their digest.
+
+    ``benchmark`` has (item_id, text). Other columns are not read. An empty benchmark hits nothing.
+    """
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    windows, widths, index = _prepared(docs, benchmark, broadcast_windows)
+    return _shuffled(docs, windows, widths) if index is None else docs.mapInArrow(_scanner(index), OUT)
 
 
 def _shuffled(docs: DataFrame, windows: DataFrame, widths: list[int]) -> DataFrame:
@@ -213,7 +219,10 @@ def _shuffled(docs: DataFrame, windows: DataFrame, widths: list[int]) -> DataFra
     return keyed.join(found, "row_id", "left").select("doc_id", "text", "found").mapInArrow(_verify, OUT)
 
 
-def clean_of(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def clean_of(docs: DataFrame, benchmark: DataFrame, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
     """``docs`` without contaminated documents; all columns stay."""
-    hit = contamination(docs, benchmark).where("contaminated").select("doc_id").distinct()
+    windows, widths, index = _prepared(docs, benchmark, broadcast_windows)
+    if index is not None:
+        return docs.mapInArrow(_scanner(index, docs.columns.index("text")), docs.schema)
+    hit = _shuffled(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), windows, widths).where("contaminated").select("doc_id").distinct()
     return docs.join(hit, "doc_id", "left_anti").select(docs.columns)

@@ -192,29 +192,47 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | N
     return model
 
 
+def _scores(model: Model | None, column: pa.Array) -> tuple[np.ndarray, list]:
+    """Scores of texts and their passages."""
+    if model is None:
+        return np.zeros(len(column)), [[]] * len(column)
+    best, total, spans = [], [], []
+    for _, _, block in tb.blocks(column, tb.ALNUM):
+        for n, seg in zip(block.counts.tolist(), model.segments(block)):
+            b, t, _ = model.evidence(n, seg)
+            best.append(b)
+            total.append(t)
+            least = np.log(max(model.k * n, 1e-300)) - np.log(SIGNIFICANT)
+            spans.append([s for s in seg if model.lam * s[2] > least])
+    return model.score(np.array(best), np.array(total)), spans
+
+
 def _scanned(shared):
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
 
     def run(batches):
-        model = shared.value
         for batch in batches:
-            best, total, spans = [], [], []
-            if model is not None:
-                for _, _, block in tb.blocks(batch.column(1), tb.ALNUM):
-                    for n, seg in zip(block.counts.tolist(), model.segments(block)):
-                        b, t, _ = model.evidence(n, seg)
-                        best.append(b)
-                        total.append(t)
-                        least = np.log(max(model.k * n, 1e-300)) - np.log(SIGNIFICANT)
-                        spans.append([dict(zip(("start", "end", "score"), s)) for s in seg if model.lam * s[2] > least])
-                score = model.score(np.array(best), np.array(total))
-            else:
-                score, spans = np.zeros(len(batch.column(0))), [[]] * len(batch.column(0))
+            score, spans = _scores(shared.value, batch.column(1))
+            spans = [[dict(zip(("start", "end", "score"), x)) for x in s] for s in spans]
             yield pa.record_batch([batch.column(0), pa.array(score, pa.float64()), pa.array(spans, kind)], ["doc_id", "score", "passages"])
 
     return run
 
 
+def _keeper(shared, at):
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(_scores(shared.value, batch.column(at))[0] < THRESHOLD))
+
+    return run
+
+
+def clean_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``docs`` without the documents that are predicted toxic, in one pass; all columns stay."""
+    model = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
+    return docs.mapInArrow(_keeper(model, docs.columns.index("text")), docs.schema)
+
+
 def toxic_passages(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row per row of ``docs``: doc_id, score, passages (start word, end word, score)."""
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
