@@ -11,8 +11,9 @@ average with deviation 3, so the bound of 23 leaves out one such pair in ten tho
 No group's pairs are enumerated as a rule. Documents with equal sets are one representative. Under a key,
 members are compared with a hub drawn for that key, links are confirmed on the full sets, and what is already
 connected is not compared again; only pairs under a key that are still in different components go on, first
-to other hubs, in the end all of them, in squares of bounded size. So a hot key costs rows in proportion to
-its members, and no link between components is lost.
+to other hubs, in the end all of them, in squares of bounded size. There a pair is looked at under its first
+common key only and goes on to the full sets only if an upper bound of the intersection allows a link. So a
+hot key costs rows in proportion to its members, and no link between components is lost.
 
 Rows whose doc_id is null are linked with nothing. Rows that repeat a doc_id are the same document.
 """
@@ -35,6 +36,8 @@ CHUNKS = SYMBOLS // WIDTH
 MAX_DISTANCE = CHUNKS * (ERRORS + 1) - 1
 HUB_ROUNDS = 2
 SQUARE = 512
+#: Sets of at most so many shingles are also held as 16-bit values, which bound an intersection from above.
+SMALL = 2048
 
 _rng = np.random.default_rng(20240607)
 _XOR = _rng.integers(0, 1 << 32, SYMBOLS, np.uint32)
@@ -97,43 +100,88 @@ def _confirm(batches):
         yield pa.record_batch([pa.array(u[keep]), pa.array(v[keep])], ["u", "v"])
 
 
+def _with_small_sets(batches):
+    """(rep, n, sig, small, text): small holds the low 16 bits of a set's shingles, null for large sets."""
+    for batch in batches:
+        small = []
+        for i, j, block in tb.blocks(batch.column(3), tb.SPACED):
+            h, first = tb.shingles(block, SHINGLE)
+            for r in range(j - i):
+                u = np.unique(h[first[r] : first[r + 1]])
+                small.append(u.astype(np.uint16).tobytes() if len(u) <= SMALL else None)
+        yield pa.record_batch([*batch.columns[:3], pa.array(small, pa.binary()), batch.column(3)], ["rep", "n", "sig", "small", "text"])
+
+
+class _Square:
+    """Members of two blocks under a key: which pairs may be links."""
+
+    def __init__(self, t: pa.Table):
+        self.block, self.rep, self.comp, self.n = (t[c].to_numpy() for c in ("block", "rep", "comp", "n"))
+        self.no, self.a, self.b = t["no"][0].as_py(), t["a"][0].as_py(), t["b"][0].as_py()
+        self.sig = t["sig"].combine_chunks().flatten().to_numpy().reshape(-1, SYMBOLS).astype(np.uint16)
+        self.small = [None if x is None else np.frombuffer(x, np.uint16) for x in t["small"].to_pylist()]
+        self.inside = np.zeros(1 << 16, bool)
+
+    def _first(self, same: np.ndarray) -> np.ndarray:
+        """Whether this key is the first one that the pairs share, so that each pair is looked at once."""
+        chunk, left_out = divmod(self.no, WIDTH)
+        wrong = WIDTH - same.reshape(*same.shape[:-1], CHUNKS, WIDTH).sum(-1)
+        earlier = (wrong[..., :chunk] <= ERRORS).any(-1)
+        # within the chunk: pairs that agree wholly meet under each of its keys, others under one
+        return ~earlier & ((wrong[..., chunk] > 0) | (left_out == 0))
+
+    def pairs(self) -> list[tuple[int, int]]:
+        left, right = np.flatnonzero(self.block == self.a), np.flatnonzero(self.block == self.b)
+        out = []
+        for at in range(0, len(left), 64):
+            l = left[at : at + 64]
+            same = self.sig[l][:, None, :] == self.sig[right][None, :, :]
+            small, large = np.minimum(self.n[l][:, None], self.n[right][None, :]), np.maximum(self.n[l][:, None], self.n[right][None, :])
+            ok = (SYMBOLS - same.sum(-1) <= MAX_DISTANCE) & (self.comp[l][:, None] != self.comp[right][None, :]) & (100 * small >= PERCENT * large) & self._first(same)
+            if self.a == self.b:
+                ok &= self.rep[l][:, None] < self.rep[right][None, :]
+            for x in np.flatnonzero(ok.any(1)).tolist():
+                out += [(int(self.rep[l[x]]), int(self.rep[y])) for y in self._possible(int(l[x]), right[ok[x]])]
+        return [(min(p), max(p)) for p in out]
+
+    def _possible(self, x: int, ys: np.ndarray):
+        """Those of ys whose intersection with x, bounded from above, is large enough."""
+        if self.small[x] is None:
+            return ys.tolist()
+        self.inside[self.small[x]] = True
+        good = []
+        for y in ys.tolist():
+            if (s := self.small[y]) is not None:
+                most = int(self.inside[s].sum())
+                if 100 * most < PERCENT * (int(self.n[x]) + int(self.n[y]) - most):
+                    continue
+            good.append(y)
+        self.inside[self.small[x]] = False
+        return good
+
+
 def _near_in_squares(batches):
-    """(u, v) in different components within the signature distance, of rows that come sorted by (key, a, b).
+    """(u, v) that may be links between components, of rows that come sorted by (key, no, a, b).
 
-    Columns: key, a, b (the square), block (a or b), rep, comp, n, sig.
+    Columns: key, no (the key's number), a, b (the square), block (a or b), rep, comp, n, sig, small.
     """
-    held: list = []
 
     def pairs(rows):
         t = pa.Table.from_batches(rows)
-        if t.num_rows < 2:
-            return None
-        a, b = t["a"][0].as_py(), t["b"][0].as_py()
-        block, rep, comp, n = (t[c].to_numpy() for c in ("block", "rep", "comp", "n"))
-        sig = t["sig"].combine_chunks().flatten().to_numpy().reshape(-1, SYMBOLS).astype(np.uint16)
-        left, right = np.flatnonzero(block == a), np.flatnonzero(block == b)
-        us, vs = [], []
-        for at in range(0, len(left), 64):
-            l = left[at : at + 64]
-            far = (sig[l][:, None, :] != sig[right][None, :, :]).sum(-1)
-            small, large = np.minimum(n[l][:, None], n[right][None, :]), np.maximum(n[l][:, None], n[right][None, :])
-            ok = (far <= MAX_DISTANCE) & (comp[l][:, None] != comp[right][None, :]) & (100 * small >= PERCENT * large)
-            if a == b:
-                ok &= rep[l][:, None] < rep[right][None, :]
-            x, y = np.nonzero(ok)
-            us.append(np.minimum(rep[l][x], rep[right][y]))
-            vs.append(np.maximum(rep[l][x], rep[right][y]))
-        return pa.record_batch([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], ["u", "v"])
-
-    now = None
+        got = _Square(t).pairs() if t.num_rows > 1 else []
+        return pa.record_batch([pa.array([p[0] for p in got], pa.int64()), pa.array([p[1] for p in got], pa.int64())], ["u", "v"]) if got else None
+
+    now, held = None, []
     for batch in batches:
-        key, a, b = (batch.column(k).to_numpy() for k in range(3))
-        cutat = np.flatnonzero((key[1:] != key[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])) + 1
-        edges = [0, *cutat.tolist(), len(key)]
+        keys = [batch.column(k).to_numpy() for k in range(4)]
+        change = np.zeros(max(0, batch.num_rows - 1), bool)
+        for k in keys:
+            change |= k[1:] != k[:-1]
+        edges = [0, *(np.flatnonzero(change) + 1).tolist(), batch.num_rows]
         for lo, hi in zip(edges, edges[1:]):
             if lo == hi:
                 continue
-            this = (key[lo], a[lo], b[lo])
+            this = tuple(k[lo] for k in keys)
             if this != now and held:
                 if (out := pairs(held)) is not None:
                     yield out
@@ -160,8 +208,8 @@ def _distance(a: str, b: str):
 
 def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """pairs (u, v), distinct. The links among them."""
-    got = pairs.join(texts.select(F.col("doc_id").alias("v"), F.col("text").alias("tv")), "v")
-    got = got.join(texts.select(F.col("doc_id").alias("u"), F.col("text").alias("tu")), "u").select("u", "v", "tu", "tv")
+    got = pairs.join(texts.select(F.col("rep").alias("v"), F.col("text").alias("tv")), "v")
+    got = got.join(texts.select(F.col("rep").alias("u"), F.col("text").alias("tu")), "u").select("u", "v", "tu", "tv")
     return got.mapInArrow(_confirm, "u long, v long")
 
 
@@ -181,9 +229,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     reps = some.groupBy(*group).agg(F.min("doc_id").alias("rep"))
     members = cut(some.join(reps, group).select("doc_id", "n_shingles", "rep", F.when(F.col("doc_id") == F.col("rep"), F.col("sig")).alias("sig")))
     signed = members.where("sig is not null").select("rep", F.col("n_shingles").alias("n"), "sig")
-    keyed = signed.select(F.explode(_keys()).alias("key"), "rep")
+    keyed = signed.select(F.posexplode(_keys()).alias("no", "key"), "rep")
     shared = keyed.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("key")
     met = cut(keyed.join(shared.hint("shuffle_hash"), "key"))
+    # from here on only the representatives that meet another one are read
+    texts = texts.withColumnRenamed("doc_id", "rep").join(met.select("rep").distinct(), "rep", "left_semi")
+    texts = signed.join(texts, "rep").select("rep", "n", "sig", "text")
+    texts = cut(texts.mapInArrow(_with_small_sets, "rep long, n long, sig array<int>, small binary, text string"))
+    signed = texts.select("rep", "n", "sig", "small")
 
     comps: DataFrame | None = None  # (rep, comp) of the representatives that have a link
     for step in range(HUB_ROUNDS + 1):
@@ -199,8 +252,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             parts = F.ceil(F.col("m") / F.lit(SQUARE)).cast("int")
             open_ = open_.withColumn("parts", parts).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
             open_ = open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-            open_ = open_.select("key", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), "block", "rep", "comp", "n", "sig")
-            dealt = open_.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b")
+            open_ = open_.select("key", "no", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), "block", "rep", "comp", "n", "sig", "small")
+            dealt = open_.repartition("key", "no", "a", "b").sortWithinPartitions("key", "no", "a", "b")
             pairs = dealt.mapInArrow(_near_in_squares, "u long, v long").distinct()
         else:
             pairs = now.join(state.select("key", F.col("hub.rep").alias("hub"), F.col("hub.comp").alias("hubc")).hint("shuffle_hash"), "key").where("comp <> hubc")
