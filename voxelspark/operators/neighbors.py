@@ -57,8 +57,8 @@ def equal_neighbour_edges(df: DataFrame, label: str) -> DataFrame:
 
 
 def voxel_key(bits: int = 20) -> Column:
-    """A voxel's raster order as one number, for coordinates from 0 to 2^bits - 1."""
-    return F.shiftleft(F.col("z"), 2 * bits) + F.shiftleft(F.col("y"), bits) + F.col("x")
+    """A voxel's raster order as one number from 1, for coordinates from 0 to 2^bits - 1; 0 stays background."""
+    return F.shiftleft(F.col("z"), 2 * bits) + F.shiftleft(F.col("y"), bits) + F.col("x") + 1
 
 
 def block_halo(df: DataFrame, block: tuple, halo: tuple, grid: tuple | None = None) -> DataFrame:

@@ -510,7 +510,7 @@ def components_at_threshold(spark, d):
     return graphs.components_at(_nodes(g), g, 0.03)
 
 
-@query(f"""WITH RECURSIVE {VOXELS}, o AS MATERIALIZED (SELECT (z << 40) + (y << 20) + x AS "key", z, y, x, "label" FROM vox WHERE "label" <> 0), f(dz, dy, dx) AS (VALUES (0, 0, 1), (0, 1, 0), (1, 0, 0), (0, 0, -1), (0, -1, 0), (-1, 0, 0)),
+@query(f"""WITH RECURSIVE {VOXELS}, o AS MATERIALIZED (SELECT (z << 40) + (y << 20) + x + 1 AS "key", z, y, x, "label" FROM vox WHERE "label" <> 0), f(dz, dy, dx) AS (VALUES (0, 0, 1), (0, 1, 0), (1, 0, 0), (0, 0, -1), (0, -1, 0), (-1, 0, 0)),
 e AS MATERIALIZED (SELECT a."key" u, b."key" v FROM o a, f JOIN o b ON b.z = a.z + dz AND b.y = a.y + dy AND b.x = a.x + dx AND a."label" = b."label"),
 r AS (SELECT "key" src, "key" dst FROM o UNION SELECT r.src, e.v FROM r JOIN e ON e.u = r.dst), c AS (SELECT src, min(dst) component FROM r GROUP BY 1) SELECT z, y, x, "label", component FROM o JOIN c ON src = "key" """)
 def voxel_components(spark, d):
@@ -669,7 +669,7 @@ def segment_mws(spark, d):
     return segment.mutex(a, ["az", "ay", "ax"], OFFSETS[:3], (24, 48, 48), [-0.6, -0.6, -0.6], block=(12, 48, 48), remove_debris=2)["segmentation"]
 
 
-@query(f"""WITH RECURSIVE {AFFS}, o AS MATERIALIZED (SELECT (z << 40) + (y << 20) + x AS "key", z, y, x, az > 0.8 hz, ay > 0.8 hy, ax > 0.8 hx FROM affs WHERE az > 0.8 OR ay > 0.8 OR ax > 0.8),
+@query(f"""WITH RECURSIVE {AFFS}, o AS MATERIALIZED (SELECT (z << 40) + (y << 20) + x + 1 AS "key", z, y, x, az > 0.8 hz, ay > 0.8 hy, ax > 0.8 hx FROM affs WHERE az > 0.8 OR ay > 0.8 OR ax > 0.8),
 h AS (SELECT a."key" u, b."key" v FROM o a JOIN o b ON a.hz AND b.z = a.z + 1 AND b.y = a.y AND b.x = a.x UNION ALL SELECT a."key", b."key" FROM o a JOIN o b ON a.hy AND b.z = a.z AND b.y = a.y + 1 AND b.x = a.x UNION ALL SELECT a."key", b."key" FROM o a JOIN o b ON a.hx AND b.z = a.z AND b.y = a.y AND b.x = a.x + 1),
 e AS MATERIALIZED (SELECT u, v FROM h UNION ALL SELECT v, u FROM h), r AS (SELECT "key" src, "key" dst FROM o UNION SELECT r.src, e.v FROM r JOIN e ON e.u = r.dst), c AS (SELECT src, min(dst) component FROM r GROUP BY 1), s AS (SELECT component FROM c GROUP BY 1 HAVING count(*) >= 4)
 SELECT z, y, x, component FROM o JOIN c ON src = "key" WHERE component IN (SELECT component FROM s)""")

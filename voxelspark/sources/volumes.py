@@ -175,7 +175,7 @@ def read_graphml(spark: SparkSession, path: str, roi: Roi | None = None, strict:
         nodes = nodes.where(cond)
     ids = nodes.select("node")
     edges = rows.where("kind = 'e'").select("u", "v")
-    edges = edges.join(ids.withColumnRenamed("node", "u"), "u", "left_semi").join(ids.withColumnRenamed("node", "v"), "v", "left_semi")
+    edges = edges.join(ids.withColumnRenamed("node", "u"), "u", "left_semi").join(ids.withColumnRenamed("node", "v"), "v", "left_semi").select("u", "v")
     used = edges.select(F.explode(F.array("u", "v")).alias("node")).distinct()
     return nodes.join(used, "node", "left_semi"), edges
 
