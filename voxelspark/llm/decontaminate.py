@@ -29,8 +29,8 @@ from . import textblocks as tb
 from .arrowconf import bound_batches
 
 WINDOW, SHINGLE = 10, 5
-#: Distinct windows that may be sent to every task: about 200 bytes each, 100 MB in all.
-BROADCAST_WINDOWS = 500_000
+#: Distinct windows that may be sent to every task: about 1 kB each as Python objects, 100 MB in all.
+BROADCAST_WINDOWS = 100_000
 OUT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 _BITS = 20
 
