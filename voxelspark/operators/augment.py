@@ -38,6 +38,13 @@ def impulse_noise(df: DataFrame, value: str, p: float, seed: int = 0) -> DataFra
     return df.withColumn(value, F.when(uniform(seed, *AXES) < p, uniform(seed + 1, *AXES)).otherwise(F.col(value)))
 
 
+def gaussian_noise(df: DataFrame, value: str, std: float, seed: int = 0) -> DataFrame:
+    """Values plus a normal deviate for each voxel, clipped to [0, 1]."""
+    u, v = uniform(seed, *AXES), uniform(seed + 101, *AXES)
+    z = F.sqrt(-2 * F.log(u)) * F.cos(2 * 3.141592653589793 * v)
+    return df.withColumn(value, F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(value) + z * std)))
+
+
 def zero_out(df: DataFrame, value: str, p: float, seed: int = 0, sections: list[int] | None = None) -> DataFrame:
     """Whole sections become 0 or 1 at even odds, with probability p or by list."""
     hit = F.col("z").isin(sections) if sections is not None else uniform(seed, "z") < p

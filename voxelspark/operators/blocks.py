@@ -128,14 +128,17 @@ def descriptors(df: DataFrame, label: str, shape, sigma: float, channel: int, bl
     return BlockOp(lambda a: kernels.local_shape_descriptors(a[label], sigma)[channel], (label,), block, (r, r, r), (r, r, r), "double").apply(df, shape)
 
 
-def fragments(df: DataFrame, affs: tuple[str, ...], shape, in_xy: bool = True, min_seed_distance: int = 10, block=(8, 64, 64), context: tuple | None = None) -> DataFrame:
+def fragments(df: DataFrame, affs: tuple[str, ...], shape, in_xy: bool = True, min_seed_distance: int = 10, block=(8, 64, 64), context: tuple | None = None, seed_eps: float | None = None) -> DataFrame:
     """(z, y, x, fragment): seeded-watershed fragments of each block, with ids that are unique over the volume."""
     from . import kernels
 
     context = context or tuple(max(1, s // 8) for s in block)
 
     def run(a):
-        got = kernels.affinity_watershed(np.stack([a[c] for c in affs]), in_xy, 1.0, min_seed_distance)[0]
+        x = np.stack([a[c] for c in affs])
+        if seed_eps is not None:
+            x = kernels.seed_decay(x, seed_eps, min_seed_distance)
+        got = kernels.affinity_watershed(x, in_xy, 1.0, min_seed_distance)[0]
         return kernels.components(got)[0]
 
     op = BlockOp(run, affs, block, context, unique_ids=True, skip_below=1e-3)

@@ -60,13 +60,13 @@ def scored_graph(frags: DataFrame, df: DataFrame, affs: Sequence[str], merge_fun
 
 def watershed(
     df: DataFrame, affs: Sequence[str], shape, thresholds: Sequence[float] = (0.2, 0.35, 0.5), fragments_in_xy: bool = True, min_seed_distance: int = 10, merge_function: str = "mean",
-    mask: DataFrame | None = None, block=(8, 64, 64), context=None, epsilon_agglomerate: float = 0.0, filter_fragments: float = 0.0, remove_debris: int = 0, bias=None, noise_eps=None,
+    mask: DataFrame | None = None, block=(8, 64, 64), context=None, epsilon_agglomerate: float = 0.0, filter_fragments: float = 0.0, remove_debris: int = 0, bias=None, noise_eps=None, seed_eps: float | None = None,
 ) -> dict[str, DataFrame]:
     """Block-wise ``ws``: fragments, nodes, edges, lut (threshold, fragment, segment) and segmentation (threshold, z, y, x, segment)."""
     if mask is not None:
         df = apply_mask(df, mask, list(affs))
     shifted = shift_affinities(df, affs, bias, noise_eps)
-    frags = cut(fragments(shifted, tuple(affs), shape, fragments_in_xy, min_seed_distance, block, context))
+    frags = cut(fragments(shifted, tuple(affs), shape, fragments_in_xy, min_seed_distance, block, context, seed_eps))
     if filter_fragments:
         frags = objects.affinity_filter(df.join(frags, list(AXES)), "fragment", list(affs), filter_fragments).where("fragment <> 0").select(*AXES, "fragment")
     if remove_debris:

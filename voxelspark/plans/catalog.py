@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.roi import Roi
 from ..operators import augment, blocks, evaluate, graphs, neighbors, objects, relabel, resample, segment, select
 from ..sources import derive, volumes
+from . import prepare, training
 from ..sources.derive import AFFS, GRAPH, LUT, SKELETONS, VOXELS
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -690,6 +691,56 @@ def mutex_graph(spark, d):
     return graphs.mutex_partition(_nodes(g), g)
 
 
+@query()
+def segment_ws_seed_decay(spark, d):
+    a = _soft(spark, d).where("z < 24")
+    return segment.watershed(a, ["az", "ay", "ax"], (24, 48, 48), (0.35,), min_seed_distance=5, block=(12, 48, 48), epsilon_agglomerate=0.1, filter_fragments=0.5, seed_eps=0.02)["segmentation"]
+
+
+@query()
+def error_mask_clean(spark, d):
+    m = error_mask(spark, d).where("mask > 0")
+    return prepare.clean_error_mask(m, "mask", SHAPE, 1, (28, 48, 48))
+
+
+@query(f"""WITH {VOXELS}, v AS (SELECT z, y, x, raw FROM vox), a AS (SELECT z, unnest(list_filter([y, CASE WHEN y BETWEEN 1 AND 3 THEN -y END, CASE WHEN y BETWEEN 44 AND 46 THEN 94 - y END], lambda i: i IS NOT NULL)) + 3 y, x, raw FROM v)
+SELECT z, y, unnest(list_filter([x, CASE WHEN x BETWEEN 1 AND 2 THEN -x END, CASE WHEN x BETWEEN 45 AND 46 THEN 94 - x END], lambda i: i IS NOT NULL)) + 2 x, raw FROM a""")
+def pad_reflect(spark, d):
+    return prepare.pad(derive.voxels(spark, d).select(*ZYX, "raw"), SHAPE, (0, 3, 2), "reflect")
+
+
+@query(f'WITH {VOXELS}, o AS (SELECT z, y, x, (raw > 20)::INT m FROM vox) SELECT z, y, x, m mask FROM o')
+def mask_from_labels(spark, d):
+    v = derive.voxels(spark, d).select(*ZYX, (F.col("raw") > 20).cast("int").alias("value"))
+    return prepare.make_mask(v, "value", "labels")
+
+
+@query(f"""WITH {VOXELS}, src AS (SELECT 'a' k, "label" gt, seg FROM vox UNION ALL SELECT 'b', "label", "label" % 3 FROM vox), {_VOI} SELECT k segmentation, round(j.h - g.h, 8) + 0.0 voi_split, round(j.h - s.h, 8) + 0.0 voi_merge, round(j.q / g.q, 8) + 0.0 rand_split, round(j.q / s.q, 8) + 0.0 rand_merge FROM j JOIN g USING (k) JOIN s USING (k)""")
+def evaluate_segmentations(spark, d):
+    v = derive.voxels(spark, d)
+    segs = {"a": v.select(*ZYX, "seg"), "b": v.select(*ZYX, (F.col("label") % 3).alias("seg"))}
+    m = prepare.evaluate_segmentations(segs, v.select(*ZYX, F.col("label").alias("gt")))
+    return m.select("segmentation", *[_r(c) for c in ("voi_split", "voi_merge", "rand_split", "rand_merge")])
+
+
+_AFF_TARGET = f"""WITH {VOXELS}, {_OFF}, w AS (SELECT *, min("label") OVER a la, max("label") OVER a ha, min("label") OVER b lb, max("label") OVER b hb FROM vox WINDOW a AS (PARTITION BY z, x ORDER BY y RANGE BETWEEN 1 PRECEDING AND 1 FOLLOWING), b AS (PARTITION BY z, y ORDER BY x RANGE BETWEEN 1 PRECEDING AND 1 FOLLOWING)),
+g AS (SELECT z, y, x, CASE WHEN least(la, lb) = greatest(ha, hb) THEN "label" ELSE 0 END l FROM w), a AS (SELECT a.z, a.y, a.x, o, (a.l = b.l AND a.l <> 0)::INT aff FROM g a, off JOIN g b ON b.z = a.z + dz AND b.y = a.y + dy AND b.x = a.x + dx),
+f AS (SELECT o, z // 3 slab, aff, count(*) n FROM a GROUP BY 1, 2, 3), k AS (SELECT *, sum(n) OVER (PARTITION BY o, slab) t, count(*) OVER (PARTITION BY o, slab) c FROM f)
+SELECT z, y, x, a.o, a.aff, round(t / (c * n), 8) + 0.0 weight FROM a JOIN k ON k.o = a.o AND slab = z // 3 AND k.aff = a.aff"""
+
+
+@query(_AFF_TARGET)
+def training_affinities(spark, d):
+    return training.affinity_targets(derive.voxels(spark, d).select(*ZYX, "label"), "label", OFFSETS, 1, 3).select(*ZYX, "o", "aff", _r("weight"))
+
+
+@query()
+def training_sample_3d(spark, d):
+    v = derive.voxels(spark, d).where("z < 12").select(*ZYX, (F.col("raw") / 50).alias("raw"), "label")
+    s = training.training_sample("3d_mtlsd", v, (12, 48, 48), OFFSETS + [(0, 0, -2), (-2, 0, 0)], 1.0)
+    return s["lsds"].join(s["raw"], ZYX, "left").select(*ZYX, F.size("lsd").alias("channels"), F.round("raw", 8).alias("raw"))
+
+
 # --- stream (extension)
 
 
