@@ -3,7 +3,8 @@
 Word weights are log-odds between toxic and other training documents with an informative Dirichlet prior
 (the pooled word frequencies, in all as many pseudo-counts as the toxic documents have words), kept where
 they stand out by ``Z`` standard deviations. A word counts once a document and a repeated text counts once,
-so neither repetition nor copies pass for evidence. A word scores its clipped weight less a drift, so ordinary text scores below zero on average.
+so neither repetition nor copies pass for evidence. A word scores its clipped weight less a drift, so ordinary text scores below zero on average;
+a word that repeats the one before it scores as ordinary text.
 A linear scan (each word is pushed and popped once) finds all maximal-scoring segments of a whole text.
 
 The scores of ordinary text give the decay ``lam`` of the extreme-value law as the root of
@@ -32,7 +33,7 @@ from .labelled import first_by_hash, in_fold, texts_for, training_labels
 FOLDS, HELD_OUT, THRESHOLD = 4, 2, 0.3
 SAMPLE, VOCABULARY = 24_000, 50_000
 Z, MIN_COUNT = 2.3, 4
-CLIP, DRIFT = 6.0, 0.15
+CLIP, DRIFT = 6.0, 1.0
 SIGNIFICANT = 0.05
 
 
@@ -73,7 +74,10 @@ class Model:
 
     def segments(self, block: tb.Block):
         """For each text, the (start word, end word, score) of its maximal segments."""
-        s = self.word_scores(block.hashes())
+        h = block.hashes()
+        s = self.word_scores(h)
+        again = np.flatnonzero(h[1:] == h[:-1]) + 1
+        s[again] = np.minimum(s[again], -DRIFT)
         total = np.concatenate([[0.0], np.cumsum(s)])
         up = np.flatnonzero(s > 0)
         first = np.searchsorted(up, block.first)
