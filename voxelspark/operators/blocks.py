@@ -115,6 +115,21 @@ def equalise(df: DataFrame, value: str, shape, tile: int = 8) -> DataFrame:
     return BlockOp(lambda a: np.stack([kernels.clahe(s, tile) for s in a[value]]), (value,), (1, shape[1], shape[2]), dtype="double").apply(df, shape)
 
 
+def grow_random(df: DataFrame, label: str, shape, max_steps: int, per_section: bool = True, seed: int = 0, block=(64, 64, 64)) -> DataFrame:
+    """(z, y, x, value): each label eroded by a number of steps up to ``max_steps`` that its id draws."""
+    import zlib
+
+    from . import kernels
+
+    def run(a):
+        lab = a[label]
+        steps = {int(i): zlib.crc32(f"{seed}:{i}".encode()) % (max_steps + 1) for i in np.unique(lab)}
+        return np.stack([kernels.grow_random(s, steps) for s in lab]) if per_section else kernels.grow_random(lab, steps)
+
+    reach = (0 if per_section else max_steps, max_steps, max_steps)
+    return BlockOp(run, (label,), block, reach, reach).apply(df, shape)
+
+
 def infer(df: DataFrame, values: tuple[str, ...], shape, function: Callable, block, halo) -> DataFrame:
     """(z, y, x, value): a user's function on each block, such as a network's forward pass."""
     return BlockOp(function, values, block, halo, halo, "double").apply(df, shape)

@@ -153,6 +153,28 @@ def channel_slice(spark, d):
     return select.channels(a, "ch", 1, 2).select(*ZYX, F.col("ch")[0].alias("c0"), F.col("ch")[1].alias("c1"))
 
 
+@query(f"WITH {VOXELS} SELECT z, y, x, raw FROM vox WHERE {_IN_ROI}")
+def volume_store(spark, d):
+    import uuid
+
+    from .lineage import ensure_checkpoint_dir
+
+    path = f"{ensure_checkpoint_dir(spark)}/volume-{uuid.uuid4().hex}"
+    volumes.write_volume(derive.voxels(spark, d).select(*ZYX, "raw"), path, volumes.VolumeMeta("raw", "float64", SHAPE), 8)
+    return volumes.open_volume(spark, path, ROI, 8).select(*ZYX, "raw")
+
+
+@query(f"WITH {GRAPH} SELECT u, v, score FROM edges WHERE score <= 0.04")
+def graph_store(spark, d):
+    import uuid
+
+    from .lineage import ensure_checkpoint_dir
+
+    path = f"{ensure_checkpoint_dir(spark)}/graph-{uuid.uuid4().hex}"
+    volumes.write_graph(None, derive.graph(spark, d), path)
+    return volumes.read_graph(spark, {"kind": "parquet", "path": path}, "edges", "score <= 0.04").select("u", "v", "score")
+
+
 # --- objects
 
 
@@ -580,9 +602,11 @@ def gamma(spark, d):
     return augment.gamma(derive.affinity_volume(spark, d), "ay", (1, -1, -1), 1.5).select(*ZYX, _r("ay"))
 
 
-@query(f"WITH {AFFS} SELECT z, y, x, round(avg(ay) OVER (PARTITION BY z) + (ay - avg(ay) OVER (PARTITION BY z)) * 0.1, 8) + 0.0 ay FROM affs")
+@query(f"WITH {AFFS} SELECT z, y, x, round(avg(ay) OVER (PARTITION BY z) + (ay - avg(ay) OVER (PARTITION BY z)) * 0.1 + 3e-11, 8) + 0.0 ay FROM affs")
 def low_contrast(spark, d):
-    return augment.low_contrast(derive.affinity_volume(spark, d), "ay", 0.1, 1.0).select(*ZYX, _r("ay"))
+    # a hair off exact halves, which rounding would send either way
+    low = augment.low_contrast(derive.affinity_volume(spark, d), "ay", 0.1, 1.0)
+    return low.withColumn("ay", F.col("ay") + 3e-11).select(*ZYX, _r("ay"))
 
 
 @query(f"WITH {VOXELS}, i AS (SELECT z, l, lead(l) OVER (PARTITION BY z ORDER BY l) n FROM (SELECT DISTINCT z, \"label\" l FROM vox WHERE \"label\" <> 0)) SELECT v.z, y, x, coalesce(n, \"label\") \"label\" FROM vox v LEFT JOIN i ON i.z = v.z AND l = \"label\"")
@@ -639,6 +663,17 @@ def gaussian_smooth(spark, d):
     return blocks.smooth(derive.voxels(spark, d).select(*ZYX, "raw"), "raw", SHAPE, (0.0, 1.0, 1.0), (28, 48, 48)).select(*ZYX, F.round("value", 8).alias("value"))
 
 
+@query()
+def grow_random(spark, d):
+    return blocks.grow_random(_labels3(spark, d), "label", SHAPE, 1, block=(28, 48, 48))
+
+
+@query()
+def block_inference(spark, d):
+    v = derive.voxels(spark, d).select(*ZYX, "raw")
+    return blocks.infer(v, ("raw",), SHAPE, lambda a: a["raw"] / 50.0, (28, 48, 48), (0, 2, 2)).select(*ZYX, F.round("value", 8).alias("value"))
+
+
 @query()
 def clahe(spark, d):
     return blocks.equalise(derive.voxels(spark, d).select(*ZYX, "raw"), "raw", SHAPE).select(*ZYX, F.round("value", 8).alias("value"))
