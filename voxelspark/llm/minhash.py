@@ -245,6 +245,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         else:
             now = met.join(comps, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
         last = step == HUB_ROUNDS
+        if not last:  # a round of hubs for each share of the keys; what either leaves open, the squares settle under all keys
+            now = now.where(F.col("no") % HUB_ROUNDS == step)
         draw = F.struct(F.xxhash64("rep", "key", F.lit(step)).alias("h"), "rep", "comp")
         state = now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m"), F.min(draw).alias("hub")).where("lo < hi")
         if last:
