@@ -411,33 +411,46 @@ def multiway_cut(pdf) -> tuple[int, int]:
 
 
 def _source_side(cap: dict, source: set, sink: set) -> set:
-    """Nodes on the source's side of a minimum cut, by shortest augmenting paths."""
+    """Nodes on the source's side of a minimum cut (the least such set), by blocking flows on shortest paths."""
     flow = {a: dict(m) for a, m in cap.items()}
     while True:
-        prev, todo, end = {x: None for x in source}, list(source), None
-        while todo and end is None:
+        level, todo, met = dict.fromkeys(source, 0), list(source), False
+        while todo and not met:
             nxt = []
             for x in todo:
                 for y, c in flow.get(x, {}).items():
-                    if c > 1e-12 and y not in prev:
-                        prev[y] = x
+                    if c > 1e-12 and y not in level:
+                        level[y] = level[x] + 1
                         if y in sink:
-                            end = y
-                            break
-                        nxt.append(y)
-                if end is not None:
-                    break
+                            met = True
+                        else:
+                            nxt.append(y)
             todo = nxt
-        if end is None:
-            return set(prev)
-        path, y = [], end
-        while prev[y] is not None:
-            path.append((prev[y], y))
-            y = prev[y]
-        m = min(flow[a][b] for a, b in path)
-        for a, b in path:
-            flow[a][b] -= m
-            flow[b][a] = flow[b].get(a, 0) + m
+        if not met:
+            return set(level)
+        arcs, dead = {}, set()
+        for s in source:
+            path = [s]
+            while path:
+                x = path[-1]
+                if x in sink:
+                    steps = list(zip(path, path[1:]))
+                    m = min(flow[a][b] for a, b in steps)
+                    for a, b in steps:
+                        flow[a][b] -= m
+                        flow[b][a] = flow[b].get(a, 0) + m
+                    del path[next(k for k, (a, b) in enumerate(steps) if flow[a][b] <= 1e-12) + 1 :]
+                    continue
+                if x not in arcs:
+                    arcs[x] = [y for y in flow.get(x, {}) if level.get(y) == level[x] + 1]
+                rest = arcs[x]
+                while rest and (rest[-1] in dead or flow[x][rest[-1]] <= 1e-12):
+                    rest.pop()
+                if rest:
+                    path.append(rest[-1])
+                else:
+                    dead.add(x)
+                    path.pop()
 
 
 def local_shape_descriptors(labels: np.ndarray, sigma, voxel_size=None) -> np.ndarray:

@@ -33,6 +33,17 @@ def query(sql: str | None = None):
     return add
 
 
+def _whole(f) -> Query:
+    """The query on the graph of all orders, as NAME_whole; the SQL is that of large orders, so it has none."""
+
+    def run(spark, d):
+        return f(spark, d, derive.whole_graph)
+
+    run.__name__ = f"{f.__name__}_whole"
+    query()(run)
+    return f
+
+
 def _r(c: str, places: int = 8, name: str | None = None):
     """Rounded, without a negative zero, as doubles compare."""
     return (F.round(F.col(c), places) + 0.0).alias(name or c)
@@ -164,14 +175,15 @@ def volume_store(spark, d):
     return volumes.open_volume(spark, path, ROI, 8).select(*ZYX, "raw")
 
 
+@_whole
 @query(f"WITH {GRAPH} SELECT u, v, score FROM edges WHERE score <= 0.04")
-def graph_store(spark, d):
+def graph_store(spark, d, graph=derive.graph):
     import uuid
 
     from .lineage import ensure_checkpoint_dir
 
     path = f"{ensure_checkpoint_dir(spark)}/graph-{uuid.uuid4().hex}"
-    volumes.write_graph(None, derive.graph(spark, d), path)
+    volumes.write_graph(None, graph(spark, d), path)
     return volumes.read_graph(spark, {"kind": "parquet", "path": path}, "edges", "score <= 0.04").select("u", "v", "score")
 
 
@@ -302,11 +314,12 @@ def background_sites(spark, d):
     return got.agg(F.count("*").alias("sites"), F.count_if(F.col("label") == 0).alias("background"))
 
 
+@_whole
 @query(f"WITH {GRAPH}, {LUT}, f AS (SELECT fragment + 1000000 fragment, segment FROM lut UNION SELECT segment, segment FROM lut), k AS (SELECT fragment FROM f WHERE segment = 7) SELECT u, v, score FROM edges WHERE u IN (SELECT * FROM k) AND v IN (SELECT * FROM k)")
-def segment_edges(spark, d):
+def segment_edges(spark, d, graph=derive.graph):
     lut = derive.lookup(spark, d)
     f = lut.select((F.col("fragment") + 1000000).alias("fragment"), "segment").union(lut.select(F.col("segment").alias("fragment"), "segment")).distinct()
-    return relabel.segment_subgraph(derive.graph(spark, d), f, 7)[1].select("u", "v", "score")
+    return relabel.segment_subgraph(graph(spark, d), f, 7)[1].select("u", "v", "score")
 
 
 # --- resampling
@@ -470,9 +483,10 @@ def _nodes(g):
     return g.select(F.explode(F.array("u", "v")).alias("id")).distinct()
 
 
+@_whole
 @query(_sweep_sql("SELECT threshold, fragment, segment FROM lut"))
-def threshold_sweep(spark, d):
-    g = derive.graph(spark, d)
+def threshold_sweep(spark, d, graph=derive.graph):
+    g = graph(spark, d)
     return graphs.threshold_sweep(_nodes(g), g, THRESHOLDS)
 
 
@@ -480,9 +494,10 @@ _BEST = """, src AS (SELECT threshold k, fragment % 20 + 1 gt, segment seg FROM
 SELECT 'nvi_sum' metric, (SELECT threshold FROM m ORDER BY nvi_sum, threshold LIMIT 1) threshold, (SELECT min(nvi_sum) FROM m) + 0.0 "value" UNION ALL SELECT 'voi_split', (SELECT threshold FROM m ORDER BY voi_split, threshold LIMIT 1), (SELECT min(voi_split) FROM m) + 0.0"""
 
 
+@_whole
 @query(_sweep_sql(_BEST))
-def best_threshold(spark, d):
-    lut = threshold_sweep(spark, d).select("threshold", (F.col("fragment") % 20 + 1).alias("gt"), "segment")
+def best_threshold(spark, d, graph=derive.graph):
+    lut = threshold_sweep(spark, d, graph).select("threshold", (F.col("fragment") % 20 + 1).alias("gt"), "segment")
     m = evaluate.rand_voi(lut, "gt", "segment", ["threshold"]).select("threshold", _r("nvi_sum"), _r("voi_split"))
     return evaluate.best_thresholds(m, "nvi_sum", "voi_split")
 
@@ -520,16 +535,18 @@ def error_map_embedding(spark, d):
 # --- components
 
 
+@_whole
 @query(f"WITH RECURSIVE {GRAPH}, e AS MATERIALIZED (SELECT u, v FROM edges UNION ALL SELECT v, u FROM edges), r AS (SELECT u src, u dst FROM e UNION SELECT r.src, e.v FROM r JOIN e ON e.u = r.dst) SELECT src node, min(dst) component FROM r GROUP BY 1")
-def connected_components(spark, d):
+def connected_components(spark, d, graph=derive.graph):
     from ..operators.components import connected_components as cc
 
-    return cc(derive.graph(spark, d))
+    return cc(graph(spark, d))
 
 
+@_whole
 @query(_sweep_sql("SELECT fragment, segment FROM lut WHERE threshold = 0.03"))
-def components_at_threshold(spark, d):
-    g = derive.graph(spark, d)
+def components_at_threshold(spark, d, graph=derive.graph):
+    g = graph(spark, d)
     return graphs.components_at(_nodes(g), g, 0.03)
 
 
@@ -586,9 +603,10 @@ def merge_split_stats(spark, d):
 
 @query()
 def edits_needed(spark, d):
-    g = derive.graph(spark, d)
+    # a supplier is 0, which in labels is background: ids count from 1 here
+    g = derive.whole_graph(spark, d).select((F.col("u") + 1).alias("u"), (F.col("v") + 1).alias("v"), "score")
     lut = graphs.components_at(_nodes(g), g, 0.03)
-    sites = g.select((F.col("u") % 7).alias("skel"), F.col("u").alias("fragment")).distinct()
+    sites = g.select(((F.col("u") - 1) % 7).alias("skel"), F.col("u").alias("fragment")).distinct()
     cuts = evaluate.min_cut_edits(lut, g, sites)
     nodes = sites.select(F.col("fragment").alias("node"), "skel")
     return evaluate.edits_needed(nodes, lut.select(F.col("fragment").alias("node"), "segment"), cuts)
@@ -722,7 +740,7 @@ def agglomeration_history(spark, d):
 
 @query()
 def mutex_graph(spark, d):
-    g = derive.graph(spark, d).select("u", "v", (0.05 - F.coalesce("score", F.lit(0.05))).alias("score"))
+    g = derive.whole_graph(spark, d).select("u", "v", (0.05 - F.coalesce("score", F.lit(0.05))).alias("score"))
     return graphs.mutex_partition(_nodes(g), g)
 
 
