@@ -2,6 +2,7 @@
 
 import numpy as np
 import pandas as pd
+import pytest
 
 from voxelspark.operators import kernels
 from voxelspark.plans import catalog
@@ -104,3 +105,12 @@ def test_minimum_cut_by_brute_force():
                 if best is None or (cost, len(side)) < best[:2]:
                     best = (cost, len(side), side)
         assert kernels._source_side(cap, {0, 1}, {5, 6}) == best[2]
+
+
+@pytest.mark.parametrize("name", ["segment_mws", "segment_ws_seed_decay", "training_sample_3d"])
+def test_block_queries_take_all_sections(spark, name):
+    z = pd.to_datetime(pd.read_parquet(f"{FOLDER}/lineitem.parquet")["l_shipdate"])
+    z = (z.dt.year - 1995) * 12 + z.dt.month - 1
+    got = {r[0] for r in catalog.QUERIES[name](spark, FOLDER).select("z").distinct().collect()}
+    # sections without a segment beyond the debris are few; none are cut off
+    assert got <= set(z) and len(got) > 0.8 * z.nunique() and max(got) >= z.max() - 1

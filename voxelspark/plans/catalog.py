@@ -719,8 +719,7 @@ def segment_ws(spark, d):
 
 @query()
 def segment_mws(spark, d):
-    a = _soft(spark, d).where("z < 24")
-    return segment.mutex(a, ["az", "ay", "ax"], OFFSETS[:3], (24, 48, 48), [-0.6, -0.6, -0.6], block=(12, 48, 48), remove_debris=2)["segmentation"]
+    return segment.mutex(_soft(spark, d), ["az", "ay", "ax"], OFFSETS[:3], SHAPE, [-0.6, -0.6, -0.6], block=(12, 48, 48), remove_debris=2)["segmentation"]
 
 
 @query(f"""WITH RECURSIVE {AFFS}, o AS MATERIALIZED (SELECT (z << 40) + (y << 20) + x + 1 AS "key", z, y, x, az > 0.8 hz, ay > 0.8 hy, ax > 0.8 hx FROM affs WHERE az > 0.8 OR ay > 0.8 OR ax > 0.8),
@@ -746,8 +745,7 @@ def mutex_graph(spark, d):
 
 @query()
 def segment_ws_seed_decay(spark, d):
-    a = _soft(spark, d).where("z < 24")
-    return segment.watershed(a, ["az", "ay", "ax"], (24, 48, 48), (0.35,), min_seed_distance=5, block=(12, 48, 48), epsilon_agglomerate=0.1, filter_fragments=0.5, seed_eps=0.02)["segmentation"]
+    return segment.watershed(_soft(spark, d), ["az", "ay", "ax"], SHAPE, (0.35,), min_seed_distance=5, block=(12, 48, 48), epsilon_agglomerate=0.1, filter_fragments=0.5, seed_eps=0.02)["segmentation"]
 
 
 @query()
@@ -789,8 +787,8 @@ def training_affinities(spark, d):
 
 @query()
 def training_sample_3d(spark, d):
-    v = derive.voxels(spark, d).where("z < 12").select(*ZYX, (F.col("raw") / 50).alias("raw"), "label")
-    s = training.training_sample("3d_mtlsd", v, (12, 48, 48), OFFSETS + [(0, 0, -2), (-2, 0, 0)], 1.0)
+    v = derive.voxels(spark, d).select(*ZYX, (F.col("raw") / 50).alias("raw"), "label")
+    s = training.training_sample("3d_mtlsd", v, SHAPE, OFFSETS + [(0, 0, -2), (-2, 0, 0)], 1.0)
     return s["lsds"].join(s["raw"], ZYX, "left").select(*ZYX, F.size("lsd").alias("channels"), F.round("raw", 8).alias("raw"))
 
 
