@@ -3,8 +3,9 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
-from voxelspark.operators import kernels
+from voxelspark.operators import kernels, segment
 from voxelspark.plans import catalog
 
 FOLDER = "/root/testdata/sf0.001"
@@ -114,3 +115,64 @@ def test_block_queries_take_all_sections(spark, name):
     got = {r[0] for r in catalog.QUERIES[name](spark, FOLDER).select("z").distinct().collect()}
     # sections without a segment beyond the debris are few; none are cut off
     assert got <= set(z) and len(got) > 0.8 * z.nunique() and max(got) >= z.max() - 1
+
+
+def _join_scores(edges, value):
+    """Scores at which ends of edges (u, v, values) first join, by merging the cheapest pair of clusters again and again."""
+    at, out = {x: x for u, v, _ in edges for x in (u, v)}, {}
+    while True:
+        between = {}
+        for u, v, x in edges:
+            a, b = sorted((at[u], at[v]))
+            if a != b:
+                between.setdefault((a, b), []).extend(x)
+        best = min(((1 - value(x), a, b) for (a, b), x in between.items()), default=None)
+        if best is None or best[0] > 1:
+            return out
+        s, a, b = best
+        for u, v, _ in edges:
+            if {at[u], at[v]} == {a, b}:
+                out[u, v] = s
+        at = {x: a if c == b else c for x, c in at.items()}
+
+
+def _scattered(spark):
+    """Scattered fragments with affinities, and their boundaries (u, v, values)."""
+    rng = np.random.default_rng(8)
+    frag = rng.integers(1, 9, (2, 5, 6))
+    rows = [(z, y, x, int(frag[z, y, x]), *map(float, rng.integers(1, 1000, 3) / 1000)) for z, y, x in np.ndindex(*frag.shape)]
+    df = spark.createDataFrame(rows, "z long, y long, x long, fragment long, az double, ay double, ax double")
+    edges, aff = {}, {r[:3]: r[4:] for r in rows}
+    for z, y, x in aff:
+        for k in range(3):
+            n = tuple(c - (k == a) for a, c in enumerate((z, y, x)))
+            if n in aff and frag[n] != frag[z, y, x]:
+                edges.setdefault(tuple(sorted((int(frag[n]), int(frag[z, y, x])))), []).append(aff[z, y, x][k])
+    return df, [(*e, x) for e, x in edges.items()]
+
+
+@pytest.mark.parametrize("name,value", [("mean", np.mean), ("hist_quant_75", lambda x: np.quantile(x, 0.75))])
+def test_edges_are_scored_by_merging(spark, name, value):
+    df, edges = _scattered(spark)
+    want = _join_scores(edges, value)
+    plain = {(u, v): 1 - value(x) for u, v, x in edges}
+    affs = ["az", "ay", "ax"]
+    _, got = segment.scored_graph(df.select("z", "y", "x", "fragment"), df.drop("fragment"), affs, name, (2, 5, 6), (0, 0, 0))
+    got = {(r["u"], r["v"]): r["score"] for r in got.collect()}
+    assert set(got) == set(plain) and all(abs(got[e] - want[e]) < 1e-9 for e in want)
+    assert any(abs(got[e] - plain[e]) > 1e-6 for e in plain)
+
+
+def test_blocks_score_every_edge_once(spark):
+    df, edges = _scattered(spark)
+    f = df.select("z", "y", "x", (F.col("fragment") + 8 * F.floor(F.col("x") / 3)).alias("fragment"))
+    affs = ["az", "ay", "ax"]
+    _, got = segment.scored_graph(f, df.drop("fragment"), affs, "mean", (2, 5, 3), (0, 0, 0))
+    rows = [(r["u"], r["v"]) for r in got.collect()]
+    seen = {}
+    for r in f.collect():
+        seen[r["z"], r["y"], r["x"]] = r["fragment"]
+    want = {tuple(sorted((a, seen[n]))) for p, a in seen.items() for k in range(3) if (n := tuple(c - (k == i) for i, c in enumerate(p))) in seen and seen[n] != a}
+    assert len(rows) == len(set(rows)) and set(rows) == want
+    lut = dict(tuple(r) for r in segment.merge_within_blocks(f, df.drop("fragment"), affs, 0.4, (2, 5, 3)).collect())
+    assert lut and all((a > 8) == (b > 8) for a, b in lut.items())

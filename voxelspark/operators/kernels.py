@@ -332,25 +332,30 @@ def affinity_mutex_watershed(affs, offsets, bias, strides=None, sigma=None, shif
     return np.where(mask, out, 0) if mask is not None else out
 
 
-def agglomerate(u, v, n, total, stop: float = np.inf):
+def agglomerate(u, v, n, total, stop: float = np.inf, quantile: float | None = None):
     """(step, a, b, c, score): greedy merging of a graph's cheapest edge; boundaries are joined by their sizes and sums.
 
-    Edge k has ``n[k]`` boundary voxels with affinities that sum to ``total[k]``; its score is 1 - mean. c = min(a, b).
+    Edge k has ``n[k]`` boundary voxels with affinities that sum to ``total[k]``; its score is 1 - mean. With a
+    quantile ``total[k]`` holds the affinities themselves, and the score is 1 - that quantile. c = min(a, b).
     """
     near: dict[int, dict[int, list]] = {}
-    for a, b, k, t in zip(*(np.asarray(x).tolist() for x in (u, v, n, total))):
-        e = near.setdefault(a, {}).get(b) or [0, 0.0]
-        e[0] += k
-        e[1] += t
-        near[a][b] = near.setdefault(b, {})[a] = e
-    score = lambda e: 1 - e[1] / e[0]
-    heap = [(score(e), a, b, e[0]) for a, m in near.items() for b, e in m.items() if a < b]
+    plus = (lambda s, t: s + t) if quantile is None else (lambda s, t: np.concatenate([s, t]))
+    score = (lambda k, t: 1 - t / k) if quantile is None else (lambda k, t: 1 - float(np.quantile(t, quantile)))
+    sums = np.asarray(total).tolist() if quantile is None else [np.asarray(t, float) for t in total]
+    for a, b, k, t in zip(*(np.asarray(x).tolist() for x in (u, v, n)), sums):
+        e = near.setdefault(a, {}).get(b)
+        near[a][b] = near.setdefault(b, {})[a] = [k, t, 0.0] if e is None else [e[0] + k, plus(e[1], t), 0.0]
+    for a, m in near.items():
+        for b, e in m.items():
+            if a < b:
+                e[2] = score(e[0], e[1])
+    heap = [(e[2], a, b, e[0]) for a, m in near.items() for b, e in m.items() if a < b]
     heapq.heapify(heap)
     out = []
     while heap:
         s, a, b, k = heapq.heappop(heap)
         e = near.get(a, {}).get(b)
-        if e is None or e[0] != k or score(e) != s:
+        if e is None or e[0] != k or e[2] != s:
             continue
         if s > stop:
             break
@@ -361,9 +366,32 @@ def agglomerate(u, v, n, total, stop: float = np.inf):
             if c == a:
                 continue
             g = near[a].get(c)
-            g = f if g is None else [g[0] + f[0], g[1] + f[1]]
+            if g is None:
+                g = f
+            else:
+                g = [g[0] + f[0], plus(g[1], f[1]), 0.0]
+                g[2] = score(g[0], g[1])
             near[a][c] = near[c][a] = g
-            heapq.heappush(heap, (score(g), min(a, c), max(a, c), g[0]))
+            heapq.heappush(heap, (g[2], min(a, c), max(a, c), g[0]))
+    return out
+
+
+def joined_at(u, v, history) -> np.ndarray:
+    """The score at which each pair of nodes first stands in one, by a merge history (step, a, b, c = a, score); nan for never."""
+    up: dict[int, tuple] = {b: (step, a, score) for step, a, b, _, score in history}
+    out = np.full(len(u), np.nan)
+    for k, (p, q) in enumerate(zip(np.asarray(u).tolist(), np.asarray(v).tolist())):
+        s = 0.0
+        while p != q:
+            # a node is named by its cluster's root until its step; the earlier of both steps comes first
+            if p not in up and q not in up:
+                s = np.nan
+                break
+            if q not in up or (p in up and up[p][0] < up[q][0]):
+                _, p, s = up[p]
+            else:
+                _, q, s = up[q]
+        out[k] = s
     return out
 
 

@@ -17,13 +17,11 @@ from ..functions.roi import AXES
 from ..plans.lineage import cut
 from . import kernels, objects
 from .blocks import BlockOp, fragments
-from .components import connected_components
 from .graphs import affinity_components, mutex_partition, threshold_sweep
-from .neighbors import boundary_affinity
 from .relabel import apply_lut
 from .select import apply_mask
 
-#: How edges are scored by name: None is the mean, a number the quantile of affinities across a boundary.
+#: How boundaries are scored by name, before and after each merge: None is the mean, a number the quantile of affinities across them.
 MERGE_FUNCTIONS: dict[str, float | None] = {"mean": None, "hist_quant_10": 0.1, "hist_quant_25": 0.25, "hist_quant_50": 0.5, "hist_quant_75": 0.75, "hist_quant_90": 0.9}
 
 
@@ -50,12 +48,63 @@ def shift_affinities(df: DataFrame, affs: Sequence[str], bias: Sequence[float] |
     return out
 
 
-def scored_graph(frags: DataFrame, df: DataFrame, affs: Sequence[str], merge_function: str = "mean") -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) of a fragment volume: sizes and centres, boundary sizes and scores."""
+def _block_boundaries(frags: DataFrame, df: DataFrame, affs: Sequence[str], block, halo, quantile: float | None = None) -> DataFrame:
+    """(bz, by, bx, u, v, n, total): boundaries of the fragments within each block's box, grown by the halo; total is a sum, or with a quantile the values."""
+    from .neighbors import block_halo, shifted_pairs
+
+    steps = [tuple(-1 if a == k else 0 for a in range(3)) for k in range(3)]
+    pairs = shifted_pairs(df.join(frags, list(AXES)), steps, ["fragment", *affs]).where("fragment <> n_fragment")
+    value = F.element_at(F.array(*affs), F.col("o") + 1)
+    pairs = pairs.select("o", *AXES, F.least("fragment", "n_fragment").alias("u"), F.greatest("fragment", "n_fragment").alias("v"), value.alias("aff"))
+    dealt = block_halo(pairs, block, halo)
+    for k, a in enumerate(AXES):  # the neighbour one step back is in the box too
+        dealt = dealt.where((F.col("o") != k) | (F.col(a) - 1 >= F.col(f"b{a}") * block[k] - halo[k]))
+    total = F.sum("aff") if quantile is None else F.collect_list("aff")
+    return dealt.groupBy("bz", "by", "bx", "u", "v").agg(F.count("*").alias("n"), total.alias("total"))
+
+
+def scored_graph(frags: DataFrame, df: DataFrame, affs: Sequence[str], merge_function: str = "mean", block=(64, 64, 64), context=(1, 1, 1)) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of a fragment volume: sizes and centres; boundary sizes, and the score at which hierarchical agglomeration first joins u and v.
+
+    Each block is agglomerated with its context up to a score of 1. An edge takes its score from the block that
+    holds the centre of u; it has none where u and v never join there.
+    """
     if merge_function not in MERGE_FUNCTIONS:
         raise ValueError(f"{merge_function} is none of {sorted(MERGE_FUNCTIONS)}")
-    both = df.join(frags, list(AXES))
-    return objects.centroids(frags, "fragment"), boundary_affinity(both, "fragment", list(affs), MERGE_FUNCTIONS[merge_function])
+    quantile = MERGE_FUNCTIONS[merge_function]
+    nodes = objects.centroids(frags, "fragment")
+    home = nodes.select(F.col("id").alias("u"), *[F.floor(F.col(a) / b).alias(f"u{a}") for a, b in zip(AXES, block)])
+    # one voxel of context at least, as boundaries between blocks are seen by neither otherwise
+    bounds = _block_boundaries(frags, df, affs, block, tuple(max(1, c) for c in context), quantile)
+    bounds = bounds.join(home, "u").withColumn("own", F.expr(" and ".join(f"b{a} = u{a}" for a in AXES)))
+
+    def run(pdf):
+        pdf = pdf.sort_values(["u", "v"])
+        own = pdf[pdf["own"]]
+        history = kernels.agglomerate(pdf["u"], pdf["v"], pdf["n"], pdf["total"], 1.0, quantile) if len(own) else []
+        return own[["u", "v", "n"]].assign(score=kernels.joined_at(own["u"], own["v"], history))
+
+    edges = bounds.groupBy("bz", "by", "bx").applyInPandas(run, "u long, v long, n long, score double")
+    return nodes, edges.withColumn("score", F.nanvl("score", F.lit(None).cast("double")))
+
+
+def merge_within_blocks(frags: DataFrame, df: DataFrame, affs: Sequence[str], stop: float, block) -> DataFrame:
+    """(fragment, segment): fragments agglomerated up to a score, each block by itself."""
+
+    def run(pdf):
+        import pandas as pd
+
+        pdf = pdf.sort_values(["u", "v"])
+        up = {b: a for _, a, b, _, _ in kernels.agglomerate(pdf["u"], pdf["v"], pdf["n"], pdf["total"], stop)}
+        rows = []
+        for f in up:
+            s = f
+            while s in up:
+                s = up[s]
+            rows.append((f, s))
+        return pd.DataFrame(rows, columns=["fragment", "segment"]).astype("int64")
+
+    return _block_boundaries(frags, df, affs, block, (0, 0, 0)).groupBy("bz", "by", "bx").applyInPandas(run, "fragment long, segment long")
 
 
 def watershed(
@@ -71,11 +120,10 @@ def watershed(
         frags = objects.affinity_filter(df.join(frags, list(AXES)), "fragment", list(affs), filter_fragments).where("fragment <> 0").select(*AXES, "fragment")
     if remove_debris:
         frags = objects.remove_debris(frags, "fragment", remove_debris).where("fragment <> 0")
+    context = context or tuple(max(1, s // 8) for s in block)
     if epsilon_agglomerate:
-        _, edges = scored_graph(frags, df, affs, "mean")
-        comps = connected_components(edges.where(F.col("score") <= epsilon_agglomerate)).select(F.col("node").alias("fragment"), F.col("component").alias("segment"))
-        frags = cut(apply_lut(frags, "fragment", comps))
-    nodes, edges = scored_graph(frags, df, affs, merge_function)
+        frags = cut(apply_lut(frags, "fragment", merge_within_blocks(frags, df, affs, epsilon_agglomerate, block)))
+    nodes, edges = scored_graph(frags, df, affs, merge_function, block, context)
     edges = cut(edges)
     lut = threshold_sweep(nodes, edges, list(thresholds))
     return {"fragments": frags, "nodes": nodes, "edges": edges, "lut": lut, "segmentation": frags.join(lut, "fragment").select("threshold", *AXES, "segment")}
