@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from voxelspark.operators import kernels, segment
+from voxelspark.operators import blocks, kernels, segment
 from voxelspark.plans import catalog
 
 FOLDER = "/root/testdata/sf0.001"
@@ -176,3 +176,17 @@ def test_blocks_score_every_edge_once(spark):
     assert len(rows) == len(set(rows)) and set(rows) == want
     lut = dict(tuple(r) for r in segment.merge_within_blocks(f, df.drop("fragment"), affs, 0.4, (2, 5, 3)).collect())
     assert lut and all((a > 8) == (b > 8) for a, b in lut.items())
+
+
+@pytest.mark.parametrize("per_section", [True, False])
+def test_distances_have_no_cap(spark, per_section):
+    mask = np.ones((3, 20, 21), bool)
+    mask[0, 0, 0] = mask[1, 19, 3] = mask[1, 4, 4] = mask[2, 2, 20] = False
+    off = np.argwhere(~mask)
+    df = spark.createDataFrame([(*map(int, p), 1) for p in np.argwhere(mask)], "z long, y long, x long, m long")
+    got = blocks.distance_transform(df, "m", mask.shape, per_section, (2, 8, 8)).collect()
+    assert len(got) == mask.sum() and max(r["value"] for r in got) > 15
+    for r in got:
+        p = np.array([r["z"], r["y"], r["x"]])
+        near = off[off[:, 0] == r["z"]] if per_section else off
+        assert abs(r["value"] - np.sqrt(((near - p) ** 2).sum(1).min())) < 1e-9

@@ -95,17 +95,18 @@ def smooth(df: DataFrame, value: str, shape, sigma: tuple, block=(64, 64, 64)) -
     return BlockOp(lambda a: kernels.gaussian(a[value], list(sigma)), (value,), block, reach, reach, "double").apply(df, shape)
 
 
-def distance_transform(df: DataFrame, mask: str, shape, cap: int, per_section: bool = False, block=(64, 64, 64)) -> DataFrame:
-    """(z, y, x, value): distances to the background, cut at ``cap``, which is the halo."""
-    from . import kernels
+def distance_transform(df: DataFrame, mask: str, shape, per_section: bool = False, block=(64, 64, 64)) -> DataFrame:
+    """(z, y, x, value): distances to the background, however far; infinite where a section (or the volume) has none.
 
-    def run(a):
-        m = a[mask] > 0
-        d = np.stack([kernels.edt(s) for s in m]) if per_section else kernels.edt(m)
-        return np.minimum(d, cap)
+    Squared distances are lowered axis by axis, so a block holds whole lines of one axis and needs no halo.
+    """
+    from . import kernels
 
-    reach = (0 if per_section else cap, cap, cap)
-    return BlockOp(run, (mask,), block, reach, reach, "double").apply(df, shape)
+    out = df.where(F.col(mask) > 0).select(*AXES, F.lit(float("inf")).alias("value"))
+    for axis in (1, 2) if per_section else (0, 1, 2):
+        lines = tuple(n if k == axis else b for k, (n, b) in enumerate(zip(shape, block)))
+        out = BlockOp(lambda a, axis=axis: kernels.lower_along(a["value"], axis), ("value",), lines, dtype="double").apply(out, shape)
+    return out.withColumn("value", F.sqrt("value"))
 
 
 def equalise(df: DataFrame, value: str, shape, tile: int = 8) -> DataFrame:

@@ -38,6 +38,18 @@ def edt(mask: np.ndarray, spacing=None, nearest: bool = False):
     return (np.sqrt(d), at) if nearest else np.sqrt(d)
 
 
+def lower_along(d: np.ndarray, axis: int) -> np.ndarray:
+    """One axis of :func:`edt`: squared distances d(i) = min over j of d(j) + (i - j)^2 along each line."""
+    out, n = np.moveaxis(d.astype(float), axis, 0), d.shape[axis]
+    f = out.copy()
+    for gap in range(1, n):
+        if gap * gap >= out.max():
+            break
+        np.minimum(out[gap:], f[:-gap] + gap * gap, out=out[gap:])
+        np.minimum(out[:-gap], f[gap:] + gap * gap, out=out[:-gap])
+    return np.moveaxis(out, 0, axis)
+
+
 def gaussian(a: np.ndarray, sigma, truncate: float = 4.0) -> np.ndarray:
     """Separable Gaussian with mirrored edges, cut at ``truncate`` sigma."""
     out = a.astype(float)

@@ -673,7 +673,7 @@ for _n, _op in (("morph_dilate", "dilate"), ("morph_erode", "erode"), ("morph_op
 
 @query()
 def edt(spark, d):
-    return blocks.distance_transform(derive.voxels(spark, d).where("seg > 0").select(*ZYX, "seg"), "seg", SHAPE, 6, True, (28, 48, 48)).select(*ZYX, F.round("value", 8).alias("value"))
+    return blocks.distance_transform(derive.voxels(spark, d).where("seg > 0").select(*ZYX, "seg"), "seg", SHAPE, True, (28, 48, 48)).select(*ZYX, F.round("value", 8).alias("value"))
 
 
 @query()
