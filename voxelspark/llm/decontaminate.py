@@ -224,5 +224,7 @@ def clean_of(docs: DataFrame, benchmark: DataFrame, broadcast_windows: int = BRO
     windows, widths, index = _prepared(docs, benchmark, broadcast_windows)
     if index is not None:
         return docs.mapInArrow(_scanner(index, docs.columns.index("text")), docs.schema)
-    hit = _shuffled(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), windows, widths).where("contaminated").select("doc_id").distinct()
-    return docs.join(hit, "doc_id", "left_anti").select(docs.columns)
+    # a verdict is of a row: ids may be null or repeat
+    keyed = cut(docs.withColumn("_row_id", F.monotonically_increasing_id()))
+    hit = _shuffled(keyed.select(F.col("_row_id").alias("doc_id"), "text"), windows, widths).where("contaminated").select(F.col("doc_id").alias("_row_id"))
+    return keyed.join(hit, "_row_id", "left_anti").select(docs.columns)
