@@ -1,33 +1,68 @@
 """Connected components of an edge list by alternating large-star and small-star steps.
 
-Each step is a group-by on a node and never gathers a neighbourhood: the minimum is a partially aggregated
-``min`` and the neighbours are rewired by an equi-join, which adaptive execution may split where a node is
-hot. The number of rounds grows with the logarithm of the longest path.
+Before each step every task contracts the edges that it holds to a spanning forest of stars, which shortens
+paths and drops repeated edges without a shuffle. Each step is a group-by on a node and never gathers a
+neighbourhood: the minimum is a partially aggregated ``min``, and the neighbours are rewired by a join that
+deals the neighbours of hot nodes at random. The number of rounds grows with the logarithm of the longest path.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.lineage import cut
+from ..plans.lineage import cut, release
+from ..plans.shipping import ship
+from .kernels import flat_components
+from .keyjoin import join_counted
 
+#: A task contracts so many edges at a time.
+CONTRACT = 1 << 20
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """edges: (u, v), u > v, distinct. Returns (u, v), u > v, after one large-star or small-star step."""
-    if large:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    else:
-        both = edges
-    low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    joined = both.join(low, "u")
+
+def _contract(batches):
+    """(u, v): for each run of edges, every node that is not the least of its component with the least one."""
+
+    def stars(u, v):
+        ids, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+        root = flat_components(len(ids), at[: len(u)], at[len(u) :])
+        far = np.flatnonzero(root != np.arange(len(ids)))
+        return pa.record_batch([pa.array(ids[far]), pa.array(ids[root[far]])], ["u", "v"])
+
+    held, n = [], 0
+    for batch in batches:
+        held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
+        n += batch.num_rows
+        if n >= CONTRACT:
+            yield stars(*map(np.concatenate, zip(*held)))
+            held, n = [], 0
+    if n:
+        yield stars(*map(np.concatenate, zip(*held)))
+
+
+def _contracted(edges: DataFrame) -> DataFrame:
+    return edges.select("u", "v").mapInArrow(_contract, "u long, v long")
+
+
+def _star(edges: DataFrame, large: bool, total: int) -> DataFrame:
+    """edges: (u, v), u > v. Returns (u, v), u > v, after one large-star or small-star step."""
+    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges
+    low = both.groupBy("u").agg(F.min("v").alias("least"), F.count("*").alias("m")).select("u", F.least("u", "least").alias("least"), "m")
+    joined = join_counted(both, low, ["u"], 2 * total)
     if large:
-        out = joined.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-    else:
-        out = joined.select("v", "m").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
-            low.select("u", F.col("m").alias("v"))
-        )
-    return out.where("u <> v").distinct()
+        return joined.where("v > u").select(F.col("v").alias("u"), F.col("least").alias("v"))
+    out = joined.where("v <> least").select(F.col("v").alias("u"), F.col("least").alias("v"))
+    return out.unionByName(low.select("u", F.col("least").alias("v")))
+
+
+def _open(edges: DataFrame) -> tuple[int, int]:
+    """(nodes that keep the edges from being stars around least nodes, number of edges)."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    per = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    bad = F.sum(((F.col("up") > 1) | ((F.col("up") > 0) & (F.col("down") > 0))).cast("long"))
+    return tuple(x or 0 for x in per.agg(bad, F.sum("up")).first())
 
 
 def connected_components(edges: DataFrame, src: str = "u", dst: str = "v", max_rounds: int = 60) -> DataFrame:
@@ -36,20 +71,17 @@ def connected_components(edges: DataFrame, src: str = "u", dst: str = "v", max_r
     Self loops, repeated edges and either direction are accepted; edges with a null end are ignored. No edge:
     an empty frame. A node without edges does not appear; callers give it its own id.
     """
-    e = (
-        edges.select(F.least(src, dst).alias("v"), F.greatest(src, dst).alias("u"), F.col(src).alias("a"), F.col(dst).alias("b"))
-        .where("a is not null and b is not null and u <> v")
-        .select("u", "v")
-        .distinct()
-    )
-    e = cut(e)
-    seen = None
+    ship(edges.sparkSession)
+    e = edges.select(F.col(src).cast("long").alias("a"), F.col(dst).cast("long").alias("b")).where("a is not null and b is not null and a <> b")
+    e = cut(_contracted(e.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))))
     for _ in range(max_rounds):
-        e = cut(_star(_star(e, True), False))
-        mark = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if mark == seen:
+        open_, total = _open(e)
+        if not open_:
             break
-        seen = mark
+        large = cut(_star(e, True, total).where("u <> v").distinct())
+        release(e)
+        e = cut(_contracted(_star(large, False, total).where("u <> v").distinct()))
+        release(large)
     else:
         raise RuntimeError("connected components did not settle")
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(

@@ -2,6 +2,7 @@
 
 ``cut`` writes a DataFrame to the reliable checkpoint folder. The folder is the one the cluster names in
 ``spark.checkpoint.dir``; only where a session names none (tests, a laptop) a folder of our own is set.
+``release`` removes a cut that nothing reads any more, so that rounds do not pile up copies.
 """
 
 from __future__ import annotations
@@ -29,3 +30,18 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     """The same rows, read back from the reliable checkpoint folder."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Removes a folder by whatever file system its path names."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def release(*frames: DataFrame | None) -> None:
+    """Removes the files of frames that :func:`cut` returned, once whatever read them has itself been cut or written."""
+    for df in frames:
+        if df is not None:
+            file = df._jdf.queryExecution().logical().rdd().getCheckpointFile()
+            if file.isDefined():
+                remove(df.sparkSession, file.get())
