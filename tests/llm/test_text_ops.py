@@ -141,7 +141,7 @@ def test_pairs_within_the_distance_meet_under_a_key():
     for _ in range(200):
         a = r.integers(0, 1 << 16, minhash.SYMBOLS)
         b = a.copy()
-        at = r.choice(minhash.SYMBOLS, minhash.MAX_DISTANCE, replace=False)
+        at = r.choice(minhash.SYMBOLS, minhash.MEET, replace=False)
         b[at] ^= 1
         same = (a == b).reshape(minhash.CHUNKS, minhash.WIDTH)
         assert (same.sum(1) >= minhash.WIDTH - minhash.ERRORS).any()
