@@ -95,13 +95,24 @@ def test_vectors(spark, monkeypatch):
         for i, k in enumerate(ids):
             comp[k] = min(comp[ids[j]] for j in np.flatnonzero(link[i]))
     want = sorted((k, int(link[ids.index(k)].sum()) - 1 if k in good else 0, comp[k], comp[k] == k) for k, _ in rows)
-    for interval, leaf in ((8192, 512), (64, 16)):
+    for piece, group, leaf in ((1024, 16, 512), (16, 3, 4)):
         monkeypatch.setattr(vectors, "LEAF", leaf)
-        monkeypatch.setattr(vectors, "PIECE", min(1024, interval))
-        got = vectors.near_vectors(df, interval)
+        got = vectors.near_vectors(df, piece, group)
         assert sorted(map(tuple, got.select("vec_id", "n_links", "component_id", "kept").collect())) == want
 
 
+def test_vectors_are_told_apart_where_digests_collide(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "_digests", lambda e: (F.lit(1).cast("long").alias("h1"), F.lit(2).cast("long").alias("h2")))
+    rows = [(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0, 0.0]), (3, [0.0, -1.0]), (9, [0.0, -2.0])]
+    got = vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    assert sorted(map(tuple, got.collect())) == [(1, 1, 1, True), (2, 0, 2, True), (3, 1, 1, False), (3, 1, 3, True), (9, 1, 3, False)]
+
+
+def test_digests_of_a_vector_are_independent(spark):
+    a, b = spark.range(1).select(*vectors._digests(F.array(F.lit(1.0), F.lit(2.0)))).first()
+    assert a != b and b != spark.range(1).select(F.xxhash64(F.array(F.lit(1.0), F.lit(2.0)), F.lit(7))).first()[0]
+
+
 def test_pipeline(spark):
     """Each stage on its own input, against brute force; the models' decisions against their own operators."""
     import corpus_pipeline as p

@@ -147,6 +147,17 @@ def test_pairs_within_the_distance_meet_under_a_key():
         assert (same.sum(1) >= minhash.WIDTH - minhash.ERRORS).any()
 
 
+def test_minhash_repeated_rows_and_ids(spark):
+    """Two hundred rows of each of two near copies are two nodes; an id with two texts stands for either."""
+    a = prose(60)
+    b, c = a + " tail", prose(60)
+    many = spark.createDataFrame([(1, a), (2, b)] * 200 + [(3, c), (3, a), (4, c)], SCHEMA)
+    got = minhash.near_duplicates(many).groupBy("doc_id", "component_id", "kept").count()
+    assert rows(got, "doc_id", "component_id", "kept", "count") == [(1, 1, True, 200), (2, 1, False, 200), (3, 1, False, 1), (3, 3, True, 1), (4, 3, False, 1)]
+    kept = minhash.keep_one_of_each(many)
+    assert rows(kept, "doc_id", "text") == sorted([(1, a), (3, c)], key=repr)
+
+
 def test_minhash_null_and_repeated_ids(spark):
     t = prose(30)
     got = minhash.near_duplicates(spark.createDataFrame([(None, t), (1, t), (1, t), (2, t)], SCHEMA))
@@ -310,6 +321,19 @@ def test_mixing_is_fair(spark):
         assert abs(share - 0.5) < 0.2
 
 
+def test_mixing_deals_rows_that_are_alike(spark):
+    """Null ids of one size and source, more than a run of them: no group of the fold gathers them, and words come near the target."""
+    n = mixing.RUN + 904
+    df = spark.createDataFrame([(None, "s", "a b")] * n + [(7, "t", "a")] * 9, "doc_id long, source string, text string")
+    got = mixing.mixture(df).groupBy("doc_id", "size", "target").agg(F.count("*").alias("rows"), F.sum("taken").alias("taken"), F.max("taken").alias("most")).collect()
+    by = {r["doc_id"]: r for r in got}
+    assert len(got) == 2 and by[None]["rows"] == n and by[7]["rows"] == 9 and by[7]["most"] <= 2 and by[None]["most"] <= 4
+    assert all(abs(r["taken"] - r["target"]) <= r["size"] for r in got)
+    alike = mixing._numbered(spark.createDataFrame([(None, 2, n)], "doc_id long, size long, copies_of long"))
+    groups = alike.groupBy(F.pmod(F.xxhash64(F.xxhash64("doc_id", "size", "at"), F.lit(0)), F.lit(-(-n // mixing.FAN)))).count()
+    assert alike.count() == n and groups.agg(F.max("count")).first()[0] < 3 * mixing.FAN
+
+
 def test_mixing_nothing(spark):
     assert mixing.mixture(docs_frame(spark).limit(0)).count() == 0
     z = mixing.mixture(docs_frame(spark, [(1, ""), (2, None)])).collect()

@@ -10,7 +10,8 @@ folded until one fractional document is left, and those are dealt and folded aga
 levels in which no task holds a source. The one left at the root is rounded to the nearest, so a source's
 words miss its target by half a document at most.
 
-Draws are hashes of the documents' ids, so reruns agree.
+Rows of equal source, id and size are counted first and told apart by a number, so that null or repeated ids are
+dealt like any others. Draws are hashes of ids, sizes and these numbers, so reruns agree.
 """
 
 from __future__ import annotations
@@ -23,17 +24,19 @@ from ..plans.lineage import cut
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE, CAP = 1.5, 2.0
 FAN = 64
+#: Rows that are alike are numbered in runs of this many.
+RUN = 4096
 SEED = 17
 
 _WORD = r"[^\\x20\\x09-\\x0D]+"
 
 
 def source_targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
-    """(source, source_size, n, target) from (source, size). Sources by code point, null last, take the weights in turn.
+    """(source, source_size, n, rank, target) from (source, size, copies_of). Sources by code point, null last, take the weights in turn.
 
     The windows run over one row per source.
     """
-    src = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
+    src = sizes.groupBy("source").agg(F.sum(F.col("size") * F.col("copies_of")).alias("source_size"), F.sum("copies_of").alias("n"))
     rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
     src = src.withColumn("rank", rank)
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("rank") % len(weights) + 1).cast("int"))
@@ -70,6 +73,15 @@ def _fold(level: int) -> str:
     return f"aggregate(g, {start}, (acc, x) -> if(acc.carry is null, named_struct('carry', x, 'done', acc.done), {step}))"
 
 
+def _numbered(alike: DataFrame) -> DataFrame:
+    """A row for each of the ``copies_of`` rows that are alike, with a number ``at``; runs of them are dealt before they are spelled out."""
+    last = F.col("copies_of") - 1
+    runs = alike.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(last / RUN))))
+    few, many = runs.where(f"copies_of <= {RUN}"), runs.where(f"copies_of > {RUN}").repartition("doc_id", "size", "run")
+    first = F.col("run") * RUN
+    return few.unionByName(many).withColumn("at", F.explode(F.sequence(first, F.least(last, first + (RUN - 1))))).drop("run", "copies_of")
+
+
 def mixture(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text, source): doc_id, size, source_size, target, taken, copies.
 
@@ -77,16 +89,17 @@ def mixture(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, cap
     A null source is a source. Rows that repeat an id are documents of their own. Other columns are not read.
     """
     size = F.coalesce(F.expr(f"regexp_count(text, '{_WORD}')"), F.lit(0)).cast("long")
-    sized = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", size.alias("size")))
-    targets = cut(source_targets(sized.select("source", "size"), weights, share, cap))
+    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", size.alias("size"))
+    sized = cut(sized.groupBy("doc_id", "source", "size").agg(F.count("*").alias("copies_of")))
+    targets = cut(source_targets(sized, weights, share, cap))
     most = targets.agg(F.max("n")).first()[0] or 0
     t = targets.withColumnRenamed("source", "of")
     due = sized.join(t, F.col("source").eqNullSafe(F.col("of"))).drop("of")
     f = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     due = due.withColumn("sure", F.when(F.col("size") > 0, F.floor(f)).otherwise(0)).withColumn("p", F.when(F.col("size") > 0, f - F.floor(f)).otherwise(0.0))
-    due = due.select("doc_id", "size", "rank", "n", "sure", "p")
-    settled = due.where("p <= 0").select("doc_id", "size", "rank", "sure")
-    rest = due.where("p > 0").select("rank", "n", F.xxhash64("doc_id", "size", F.lit(SEED)).alias("u"), "doc_id", "size", "p")
+    due = _numbered(due.select("doc_id", "size", "copies_of", "rank", "n", "p"))
+    settled = due.where("p <= 0").select("doc_id", "size", "rank")
+    rest = due.where("p > 0").select("rank", "n", F.xxhash64("doc_id", "size", "at", F.lit(SEED)).alias("u"), "doc_id", "size", "p")
     outs, level, groups = [], 0, most
     while True:
         last = groups <= FAN
