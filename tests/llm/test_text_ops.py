@@ -389,6 +389,12 @@ def test_chat_parts(spark):
         ("<!-- c -->a<!DOCTYPE html>b", "ab"),
         ("<dl><dt>t<dd>d<dt>u<dd>e</dl>", "t\n  d\nu\n  e"),
         ("<select><option>o1<option>o2</select>", "o1\no2"),
+        ("<table><tr><td rowspan=2>a<td>bb<tr><td>d</table>", "a  bb\n   d"),
+        ("<table><tr><td colspan=2>a<td>x<tr><td>ccc<td>d<td>e</table>", "a       x\nccc  d  e"),
+        ("<input type=checkbox value=on>agree<input type=password value=secret><input value=name>", "agreename"),
+        ("<dialog>no</dialog><dialog open>yes</dialog>", "yes"),
+        ("<div style='visibility:hidden'>no<b style='visibility: visible'>yes</b></div>", "yes"),
+        ("<svg><title>t</title><defs><text>no</text></defs><text>A</text><text>B</text></svg><math><mi>x</mi></math><object>o</object>", "A\nB\nxo"),
     ],
 )
 def test_html(html, text):
@@ -402,6 +408,85 @@ def test_html_deep_and_broken(spark):
     assert rows(htmltext.extract_pages(df), "page_id", "text", "n_lines") == sorted([(1, "", 0), (2, "a\n\nb", 3), (2, "a\n\nb", 3)], key=repr)
 
 
+VISIBLE = ["", "", "", "", " hidden", " style='display:none'", " style='visibility:hidden'", " style='visibility:visible'"]
+
+
+def grow(r, depth, seen, words):
+    """(html, visible words in order) of random content, end tags left out where HTML allows it."""
+    out, told = [], []
+    for _ in range(r.randint(1, 4)):
+        kind = r.choice(["text", "text", "div", "p", "ul", "b", "pre", "h2", "blockquote"]) if depth else "text"
+        if kind == "text":
+            w = f"w{next(words)}"
+            out.append(r.choice([" ", "\n", "  "]) + w + " ")
+            told += [w] * seen
+            continue
+        how = r.choice(VISIBLE)
+        inner = False if "hidden" in how or "none" in how else True if "visible" in how else seen
+        none = how in (" hidden", " style='display:none'")
+        if kind == "ul":
+            items = [grow(r, depth - 1, inner and not none, words) for _ in range(r.randint(1, 3))]
+            out.append(f"<ul{how}>" + "".join(f"<li>{h}" + r.choice(["", "</li>"]) for h, _ in items) + "</ul>")
+            told += [w for _, t in items for w in t] if not none else []
+        elif kind in ("p", "b", "h2", "pre"):
+            w = f"w{next(words)}"
+            out.append(f"<{kind}{how}>{w} </{kind}>")
+            told += [w] * (inner and not none)
+        else:
+            h, t = grow(r, depth - 1, inner and not none, words)
+            out.append(f"<{kind}{how}>{h}</{kind}>")
+            told += t if not none else []
+    return "".join(out), told
+
+
+def test_html_shows_what_is_visible():
+    """Random pages against the words that their tree shows; words under display:none stay out whatever is inside."""
+    r = random.Random(6)
+    for _ in range(400):
+        # inside display:none nothing may be switched on again, so such parts hold no visibility
+        html, told = grow(r, 3, True, itertools.count())
+        if re.search(r"(?:hidden>|none'>).*visible", html):
+            continue
+        got = [w for w in htmltext.page_text(html).split() if w != "-"]
+        assert got == told, html
+
+
+def test_html_tables_on_a_grid():
+    """Cells of random tables with spans stand where a brute-force grid puts them."""
+    r = random.Random(9)
+    for _ in range(300):
+        rows_, taken, where, name, html = r.randint(1, 5), set(), {}, itertools.count(), ""
+        for y in range(rows_):
+            html, x = html + "<tr>", 0
+            for _ in range(r.randint(1, 4)):
+                while (y, x) in taken:
+                    x += 1
+                wide, tall, word = r.choice((1, 1, 1, 2)), r.choice((1, 1, 1, 2, 3)), f"c{next(name)}"
+                wide = 1 if (y, x + 1) in taken else wide  # cells over one another are an error of the page
+                html += f"<td colspan={wide} rowspan={tall}>{word}"
+                where[word] = (y, x)
+                taken |= {(y + b, x + a) for a in range(wide) for b in range(tall)}
+                x += wide
+        lines = htmltext.page_text(f"<table>{html}</table>").split("\n")
+        left = {}
+        for word, (y, x) in where.items():
+            m = re.search(rf"\b{word}\b", lines[y])
+            assert m and left.setdefault(x, m.start()) == m.start(), (html, lines)
+        assert [left[x] for x in sorted(left)] == sorted(left.values())
+
+
+def test_html_costs_what_the_page_does():
+    import time
+
+    for html, least in (("<table>" + "<tr><td>" + "x" * 40000 + "<td>y" + "<tr><td>a<td>b" * 2000 + "</table>", 44000), ("<table><tr>" + "<td>a" * 500 + "<td>" + "line<br>" * 3000 + "</table>", 12500)):
+        text = htmltext.page_text(html)
+        assert least <= len(text) < 3 * len(html)
+    t = time.time()
+    assert htmltext.page_text("<p><button>" + "<div>" * 60_000 + "deep") == "deep"
+    htmltext.page_text("<table><tr>" + "".join(f"<td rowspan={k}>a" for k in range(2, 3000)) + "<tr><td>b" * 3000 + "</table>")
+    assert time.time() - t < 40
+
+
 # --- empty tables
 
 
