@@ -240,8 +240,13 @@ class _Grid:
                     wide[at] = max(wide.get(at, 0), *map(len, box))
                 else:
                     wide.setdefault(at, 0)
+        used = sorted(wide)
+        for at, columns, box in sorted((c for row in self.rows for c in row if c[1] > 1 and c[2]), key=lambda c: c[1]):
+            own = used[bisect.bisect_left(used, at) : bisect.bisect_left(used, at + columns)]
+            # what does not fit widens the last column that it reaches
+            wide[own[-1]] += max(0, max(map(len, box)) - sum(wide[k] for k in own) - 2 * (len(own) - 1))
         start, total = {}, 0
-        for at in sorted(wide):
+        for at in used:
             start[at] = total
             total += wide[at] + 2
         size = room = 0
