@@ -192,7 +192,7 @@ ITEMS += [(20, ITEMS[0][1]), (21, ITEMS[3][1] + " tail words")]
 LEAKY = DOCS + [(9001, f"{prose(5)} {ITEMS[0][1].upper()} {prose(5)} {ITEMS[3][1]}"), (9002, " ".join(ITEMS[0][1].split()[4:15])), (9003, " ".join(ITEMS[0][1].split()[:9])), (9004, ITEMS[3][1].replace(" ", "--"))]
 
 
-@pytest.mark.parametrize("bound", [decontaminate.BROADCAST_WINDOWS, 0])
+@pytest.mark.parametrize("bound", [decontaminate.BROADCAST_BYTES, 0])
 def test_decontamination(spark, bound):
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
     got = decontaminate.contamination(docs_frame(spark, LEAKY), items, bound)
