@@ -72,6 +72,37 @@ def test_maximal_segments():
         assert got == brute(s, 0, len(s))
 
 
+@pytest.mark.parametrize("prior", [0.3, 0.9])
+def test_slopes_of_the_non_negative_risk(prior):
+    """Finite differences of each side of the risk, where its second term is positive and where it is not."""
+    r = np.random.default_rng(1)
+    ga, gb = r.normal(size=7), r.normal(size=11)
+    for shift in (3.0, -8.0):
+        b = gb + shift
+        soft = lambda z: np.logaddexp(0, z)
+        second = lambda x, y: soft(y).mean() - prior * soft(x).mean()
+        positive = second(ga, b) >= 0
+        assert positive == (shift > 0)
+        f = (lambda x, y: prior * soft(-x).mean() + second(x, y)) if positive else lambda x, y: -second(x, y)
+        value, da, db = quality.nn_risk(ga, b, prior)
+        assert abs(value - (prior * soft(-ga).mean() + max(0, second(ga, b)))) < 1e-12
+        for k in range(7):
+            e = np.eye(7)[k] * 1e-6
+            assert abs((f(ga + e, b) - f(ga - e, b)) / 2e-6 - da[k]) < 1e-6
+        for k in range(11):
+            e = np.eye(11)[k] * 1e-6
+            assert abs((f(ga, b + e) - f(ga, b - e)) / 2e-6 - db[k]) < 1e-6
+
+
+def test_prior_is_estimated_from_positives_and_unlabelled():
+    r = np.random.default_rng(2)
+    for share in (0.3, 0.7, 0.9):
+        pos = r.normal(2, 1, 4000)
+        unl = np.where(r.random(4000) < share, r.normal(2, 1, 4000), r.normal(-2, 1, 4000))
+        got, error = quality.best_bin(pos, unl)
+        assert abs(got - share) < 0.05 and 0 < error < 0.05
+
+
 def test_decay_solves_its_equation():
     p, s = np.array([0.02, 0.98]), np.array([3.0, -0.2])
     lam = toxicity._decay(p, s)

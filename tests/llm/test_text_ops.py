@@ -236,6 +236,40 @@ def test_licences(spark):
     assert "mit" in got[7005]["labels"] and "mit" in got[7006]["labels"] and got[7008]["labels"] == "" and "apache-2.0" in got[7009]["labels"]
 
 
+def test_whole_licences_with_edits():
+    """A whole licence with words changed, dropped and added is one chained span; shares count the words that match."""
+    scan = licenses.Scanner(licenses.TEMPLATES, licenses.PHRASES)
+    whole = max(licenses.TEMPLATES["mit"], key=len).split()
+    w = [f"x{k}" for k in range(10)] + whole[:40] + ["odd"] + whole[41:90] + whole[92:] + [f"y{k}" for k in range(10)]
+    import pyarrow as pa
+
+    ((_, _, block),) = tb.blocks(pa.array([" ".join(w)]), tb.ALNUM)
+    _, spans = scan(block)[0]
+    label, start, end, covered, share = max(spans, key=lambda s: s[3])
+    assert (label, start, end) == ("mit", 10, len(w) - 10) and covered == len(whole) - 3 and abs(share - covered / len(whole)) < 1e-9
+    ((_, _, block),) = tb.blocks(pa.array(["published under cc by sa 4 0"]), tb.ALNUM)
+    assert {s[0] for s in scan(block)[0][1]} == {"cc-by-sa"}
+
+
+def test_matches_are_the_runs_that_cannot_go_on():
+    """Against all places of all runs: those at least MIN_MATCH long that neither the text nor the template lets grow to the right, longest at their end."""
+    r = random.Random(12)
+    templates = {"a": [" ".join(r.choice("abcde") for _ in range(12))], "b": [" ".join(r.choice("abcde") for _ in range(9)) for _ in range(2)]}
+    scan = licenses.Scanner(templates, {})
+    for _ in range(60):
+        words, got = [r.choice("abcdef") for _ in range(30)], []
+        scan.stretch(words, 0, [], got)
+        want = set()
+        for end in range(1, 31):
+            runs = [(n, k, e) for k, t in enumerate(scan.words) for e in range(1, len(t) + 1) for n in range(1, min(end, e) + 1) if t[e - n : e] == words[end - n : end]]
+            n = max((x[0] for x in runs), default=0)
+            here = [x for x in runs if x[0] == n]
+            goes_on = end < 30 and any(e < len(scan.words[k]) and scan.words[k][e] == words[end] for _, k, e in here)
+            if n >= licenses.MIN_MATCH and not goes_on:
+                want |= {(k, end - n, end, e - n) for _, k, e in here}
+        assert set(got) == want
+
+
 def test_matching_statistics():
     r = random.Random(2)
     seqs = [[r.choice("abc") for _ in range(r.randint(1, 12))] for _ in range(6)]
@@ -270,6 +304,19 @@ def test_token_counts(spark):
         assert (got[d]["n_tokens"], got[d]["n_bytes"], got[d]["over_limit"]) == (n, len((t or "").encode()), n > 20), t
 
 
+def test_token_counts_of_nothing_and_of_much(spark):
+    P = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    path = P.path("word_bpe_49k.json")
+    assert tokencount.token_counts(docs_frame(spark).limit(0), path).count() == 0
+    long = DOCS[-1][1] + " " + "y" * 20000
+    got = tokencount.token_counts(docs_frame(spark, [(1, long), (1, long)]), path).collect()
+    assert [r["n_tokens"] for r in got] == [len(Tokenizer.from_file(path).encode(long, add_special_tokens=False).ids)] * 2
+    with pytest.raises(ValueError):
+        tokencount._normaliser({"type": "Sequence", "normalizers": [{"type": "StripAccents"}]})
+
+
 # --- mixing
 
 
@@ -367,6 +414,10 @@ def test_chat_parts(spark):
     assert [tuple(x) for x in a["attachments"]] == [(0, "image", "a.png", 4), (1, "audio", "b", 50), (2, "document", "c", 1024), (3, "file", "d", 1)]
     assert a["n_tokens"] == 2 + 4 + 2 + 50 + 1024 + 1
     assert chat.read_back(a["formatted"])[1] == ["look <", "|image|> and", "", "", ""]
+    assert a["loss"] == [] and b["loss"] == []
+    said = spark.createDataFrame([(1, 0, "assistant", parts, "x" * 200_000)], f"conv_id long, turn long, role string, parts array<{chat.PART}>, formatted string")
+    r = chat.format_turns(said).first()
+    assert [chat.unescaped(r["formatted"][x["start"] : x["end"]]) for x in r["loss"]] == ["look <", "|image|> and"]
     assert b["attachments"] == [] and b["n_tokens"] == 0
 
 

@@ -8,7 +8,8 @@ expands to. A turn becomes::
 
 Inside roles and texts ``\\`` becomes ``\\\\`` and ``|`` becomes ``\\|`` (in roles a line feed becomes
 ``\\n``), so ``<|`` stands in the output only where the template put it, whatever a text holds or wherever a
-part ends, and reading back is exact. The loss mask covers the text parts of assistant turns.
+part ends, and reading back is exact. The loss mask is a list of spans of the output, in characters: the text parts
+of assistant turns.
 
 The output has a row per turn. A conversation's rows are never gathered: its digests are made in one pass
 over rows sorted by conversation and turn, holding one turn at a time. SHA-256 over a whole conversation
@@ -59,7 +60,7 @@ def _tokens(p: Column) -> Column:
 
 
 def format_turns(turns: DataFrame) -> DataFrame:
-    """(conv_id, turn, role, parts) to (conv_id, turn, formatted, learnt, attachments, n_tokens), a row per turn.
+    """(conv_id, turn, role, parts) to (conv_id, turn, formatted, loss, attachments, n_tokens), a row per turn.
 
     parts is an array of ``PART``; types beyond text, image, audio and document are written ``<|file|>``. A null
     part list is an empty one; null roles and texts are empty. attachments lists (position among the turn's
@@ -75,11 +76,20 @@ def format_turns(turns: DataFrame) -> DataFrame:
     others = F.filter(parts, lambda p: kind(p) != "text")
     attached = F.transform(others, lambda p, i: F.struct(i.alias("position"), name(p).alias("type"), p["ref"].alias("ref"), _tokens(p).alias("tokens")))
     count = F.aggregate(F.transform(parts, lambda p: F.when(kind(p) == "text", words(p)).otherwise(_tokens(p))), F.lit(0).cast("long"), lambda a, b: a + b)
+    # places of the parts, as each starts where the one before ends
+    whole = F.transform(parts, lambda p: F.struct((kind(p) == "text").alias("text"), F.length(shown(p)).alias("n")))
+    start = F.struct((F.lit(len(_HEAD) + 1) + F.length(role)).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
+
+    def add(s, p):
+        span = F.array(F.struct(s["at"].alias("start"), (s["at"] + p["n"]).alias("end")))
+        return F.struct((s["at"] + p["n"]).alias("at"), F.when(p["text"] & (p["n"] > 0), F.concat(s["spans"], span)).otherwise(s["spans"]).alias("spans"))
+
+    spans = F.aggregate(whole, start, add)["spans"]
     return turns.select(
         "conv_id",
         "turn",
         F.concat(F.lit(_HEAD), role, F.lit("\n"), body, F.lit(_END)).alias("formatted"),
-        (F.coalesce("role", F.lit("")) == LEARNT).alias("learnt"),
+        F.when(F.coalesce("role", F.lit("")) == LEARNT, spans).otherwise(F.array().cast("array<struct<start:int,end:int>>")).alias("loss"),
         attached.alias("attachments"),
         count.alias("n_tokens"),
     )
@@ -89,11 +99,14 @@ _UNESCAPE = re.compile(r"\\(.)", re.S)
 _PLACE = re.compile(r"<\|(?:image|audio|document|file)\|>")
 
 
+def unescaped(text: str) -> str:
+    return _UNESCAPE.sub(lambda m: m[1], text)
+
+
 def read_back(formatted: str) -> tuple[str, list[str]]:
     """(role, texts between placeholders) of a formatted turn."""
     head, _, body = formatted.removeprefix(_HEAD).removesuffix(_END).partition("\n")
-    undo = lambda s, line="": _UNESCAPE.sub(lambda m: "\n" if line and m[1] == "n" else m[1], s)
-    return undo(head, "\n"), [undo(x) for x in _PLACE.split(body)]
+    return _UNESCAPE.sub(lambda m: "\n" if m[1] == "n" else m[1], head), [unescaped(x) for x in _PLACE.split(body)]
 
 
 def _digests(batches):
@@ -107,7 +120,7 @@ def _digests(batches):
 
     for batch in batches:
         rows = []
-        for conv, text, learnt in zip(*(batch.column(k).to_pylist() for k in range(3))):
+        for conv, text, loss in zip(*(batch.column(k).to_pylist() for k in range(3))):
             if not open_ or conv != now:
                 if open_:
                     rows.append(row())
@@ -116,9 +129,10 @@ def _digests(batches):
             said = "".join(texts)
             state[0] += 1
             state[1].update(f"{role}\n{said}\n".encode())
-            if learnt:
-                state[2] += len(said)
-                state[3].update(said.encode())
+            for span in loss:
+                learnt = unescaped(text[span["start"] : span["end"]])
+                state[2] += len(learnt)
+                state[3].update(learnt.encode())
             state[4] += len(text)
         yield pa.record_batch([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names)
     if open_:
@@ -128,6 +142,6 @@ def _digests(batches):
 def conversation_digests(formatted: DataFrame) -> DataFrame:
     """One row per conversation of :func:`format_turns`' output, read back from it; turns in order, equal ones by what they say."""
     bound_batches(formatted.sparkSession)
-    rows = formatted.select(F.col("conv_id").cast("long").alias("conv_id"), "formatted", "learnt", "turn")
-    rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "formatted").select("conv_id", "formatted", "learnt")
+    rows = formatted.select(F.col("conv_id").cast("long").alias("conv_id"), "formatted", "loss", "turn")
+    rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "formatted").select("conv_id", "formatted", "loss")
     return rows.mapInArrow(_digests, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

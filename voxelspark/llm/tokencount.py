@@ -35,6 +35,26 @@ def _byte_letters() -> list[str]:
     return [chr(b) if b in shown else chr(next(spare)) for b in range(256)]
 
 
+def _normaliser(spec: dict | None) -> list:
+    """The functions that a file's normaliser names, in order; an error for one that is not known here, as counts would be off."""
+    kind = (spec or {}).get("type")
+    if kind is None:
+        return []
+    if kind == "Sequence":
+        return [f for s in spec["normalizers"] for f in _normaliser(s)]
+    if kind in ("NFC", "NFD", "NFKC", "NFKD"):
+        return [lambda t: unicodedata.normalize(kind, t)]
+    if kind == "Lowercase":  # letter by letter: a final sigma is not special
+        return [lambda t: t.replace("Σ", "σ").lower()]
+    if kind == "Replace" and "Regex" in spec["pattern"]:
+        find = regex.compile(spec["pattern"]["Regex"].replace(r"\s", r"\p{White_Space}"))
+        by = spec["content"].replace("\\", "\\\\")
+        return [lambda t: find.sub(by, t)]
+    if kind == "Replace":
+        return [lambda t: t.replace(spec["pattern"]["String"], spec["content"])]
+    raise ValueError(f"no normaliser of type {kind}")
+
+
 class Counter(dict):
     """Tokens of a piece (a dict that fills itself), and of a text."""
 
@@ -48,6 +68,8 @@ class Counter(dict):
         self.letters = _byte_letters()
         special = [t["content"] for t in model.get("added_tokens", ())]
         self.special = regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True)))) if special else None
+        self.starts = {s[0] for s in special}
+        self.normal = _normaliser(model.get("normalizer"))
         split = next(x for x in model["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split")["pattern"]["Regex"]
         self.pieces = regex.compile(split.replace(r"\s", r"\p{White_Space}")).findall
 
@@ -84,15 +106,14 @@ class Counter(dict):
         return n - merges
 
     def text(self, text: str) -> int:
-        if self.special is None or "<" not in text:
+        if not any(c in text for c in self.starts):
             return self._plain(text)
         parts = self.special.split(text)
         return len(parts) - 1 + sum(map(self._plain, parts))
 
     def _plain(self, text: str) -> int:
-        text = unicodedata.normalize("NFC", text)
-        # lower case letter by letter: a final sigma is not special
-        text = text.replace("Σ", "σ").lower()
+        for step in self.normal:
+            text = step(text)
         return sum(map(self.__getitem__, self.pieces(text)))
 
 

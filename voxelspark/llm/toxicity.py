@@ -13,7 +13,8 @@ score S in n words is then expected ``E = K n exp(-lam S)`` times by chance. Seg
 ``SIGNIFICANT`` are toxic passages. A document's evidence is the strongest segment's -log E and the sum over
 its passages; a logistic curve, fitted on training rows, makes it a score between 0 and 1.
 
-Fitted on a sample of at most ``SAMPLE`` labelled training rows by hash. Labels, lang, source and doc_id are
+Fitted on a sample of at most ``SAMPLE`` labelled training rows by hash; the model holds at most ``VOCABULARY``
+words, those that stand out most. Both bounds are parameters of :func:`train`. Labels, lang, source and doc_id are
 no inputs. Texts without words have no segment and get the score of no evidence; without training rows of
 both kinds all scores are 0.
 """
@@ -118,16 +119,21 @@ def _counted(batches):
 
 
 def _measured(shared):
-    """(label, n, best score of a segment, all segments' scores) for calibration."""
+    """(label, n, score of the best segment, evidence of it and of all passages) for calibration: four numbers a text."""
 
     def run(batches):
         model = shared.value
         for batch in batches:
-            n, scores = [], []
+            n, best, total, top = [], [], [], []
             for _, _, block in tb.blocks(batch.column(0), tb.ALNUM):
                 n += block.counts.tolist()
-                scores += [sorted((s for _, _, s in seg), reverse=True) for seg in model.segments(block)]
-            yield pa.record_batch([batch.column(1), pa.array(n, pa.int64()), pa.array(scores, pa.list_(pa.float64()))], ["label", "n", "scores"])
+                for k, seg in zip(block.counts.tolist(), model.segments(block)):
+                    top.append(max((s for _, _, s in seg), default=0.0))
+                    b, t, _ = model.evidence(k, seg)
+                    best.append(b)
+                    total.append(t)
+            numbers = [pa.array(x, pa.float64()) for x in (top, best, total)]
+            yield pa.record_batch([batch.column(1), pa.array(n, pa.int64()), *numbers], ["label", "n", "top", "best", "total"])
 
     return run
 
@@ -159,7 +165,7 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | None:
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, vocabulary: int = VOCABULARY) -> Model | None:
     """The model of documents (doc_id, text) and labels (doc_id, toxic), from training rows alone."""
     spark = docs.sparkSession
     bound_batches(spark)
@@ -176,21 +182,20 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | N
     delta = odds(F.col("toxic"), nt) - odds(F.col("clean"), nc)
     z = delta / F.sqrt(1 / (F.col("toxic") + prior) + 1 / (F.col("clean") + prior))
     strong = counts.where(F.col("toxic") + F.col("clean") >= MIN_COUNT).withColumn("delta", delta).withColumn("z", z).where(F.abs("z") >= Z)
-    held = strong.orderBy(F.abs("z").desc(), "word").limit(VOCABULARY).toPandas()
+    held = strong.orderBy(F.abs("z").desc(), "word").limit(vocabulary).toPandas()
     scores = np.clip(held["delta"].to_numpy(float), -CLIP, CLIP) - DRIFT
     model = Model(held["word"].to_numpy(np.int64).view(np.uint64), scores, 1.0, 1.0, np.zeros(3))
     seen = held["clean"].to_numpy(float)
     p, s = np.append(seen, max(0.0, nc - seen.sum())) / nc, np.append(scores, -DRIFT)
     model.lam = _decay(p, s)
-    got = texts.mapInArrow(_measured(spark.sparkContext.broadcast(model)), "label int, n long, scores array<double>").toPandas()
-    got = got[got["n"] > 0]
+    measure = lambda: texts.mapInArrow(_measured(spark.sparkContext.broadcast(model)), "label int, n long, top double, best double, total double").where("n > 0")
+    clean = measure().where("label = 0").select(F.count("*"), F.sum(F.col("n") * F.exp(-model.lam * F.col("top")))).first()
+    model.k = float(clean[0] / max(clean[1] or 0.0, 1e-12))
+    got = measure().toPandas()
     y = (got["label"] == 1).to_numpy(float)
     if not y.any() or y.all():
         return None
-    n, best = got["n"].to_numpy(float), np.array([max(x, default=0.0) for x in got["scores"]])
-    clean = y == 0
-    model.k = float(clean.sum() / max((n[clean] * np.exp(-model.lam * best[clean])).sum(), 1e-12))
-    ev = np.array([model.evidence(int(k), [(0, 0, s) for s in x])[:2] for k, x in zip(n, got["scores"])])
+    ev = got[["best", "total"]].to_numpy(float)
     order = np.lexsort((ev[:, 1], ev[:, 0], y))
     model.curve = _logistic(np.column_stack([np.ones(len(y)), np.log1p(ev)])[order], y[order])
     return model
