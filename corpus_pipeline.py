@@ -1,7 +1,8 @@
 """A corpus pipeline of five stages; each takes (spark, docs, sf_dir) and returns a DataFrame.
 
 All stages but the last return the columns of ``documents``. Between stages the documents are written as
-Parquet to the shared checkpoint folder and read again, so a lost executor costs one stage's work at most.
+Parquet to the shared checkpoint folder and read again, so a lost executor costs one stage's work at most. A
+stage's files go once the next one has been written.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from voxelspark.llm.mixing import mixture
 from voxelspark.llm.quality import good_documents
 from voxelspark.llm.tables import table
 from voxelspark.llm.toxicity import clean_documents
-from voxelspark.plans.lineage import ensure_checkpoint_dir
+from voxelspark.plans.lineage import ensure_checkpoint_dir, remove
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,7 +55,11 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The result of the last stage over ``documents``."""
     docs = table(spark, sf_dir, "documents")
     place = f"{ensure_checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    before = None
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{place}/{name}")
         docs = spark.read.parquet(f"{place}/{name}")
+        if before:
+            remove(spark, f"{place}/{before}")
+        before = name
     return STAGES[-1][1](spark, docs, sf_dir)
