@@ -1,9 +1,11 @@
-"""Connected components of an edge list by alternating large-star and small-star steps.
-
-Before each step every task contracts the edges that it holds to a spanning forest of stars, which shortens
-paths and drops repeated edges without a shuffle. Each step is a group-by on a node and never gathers a
-neighbourhood: the minimum is a partially aggregated ``min``, and the neighbours are rewired by a join that
-deals the neighbours of hot nodes at random. The number of rounds grows with the logarithm of the longest path.
+"""Connected components of an edge list by contraction and alternating large-star and small-star steps.
+
+Tasks that hold at most ``CONTRACT`` edges each contract them to a spanning forest of stars, which shortens
+paths and drops repeated edges without a shuffle; as the edges get fewer so do the tasks, and once one task's
+share holds them all its stars are the components. Until then each round takes the two star steps. A step is
+a group-by on a node and never gathers a neighbourhood: the minimum is a partially aggregated ``min``, and the
+neighbours are rewired by a join that deals the neighbours of hot nodes at random. The number of rounds grows
+with the logarithm of the longest path.
 """
 
 from __future__ import annotations
@@ -18,32 +20,35 @@ from ..plans.shipping import ship
 from .kernels import flat_components
 from .keyjoin import join_counted
 
-#: A task contracts so many edges at a time.
+#: A task contracts about so many edges.
 CONTRACT = 1 << 20
 
 
 def _contract(batches):
-    """(u, v): for each run of edges, every node that is not the least of its component with the least one."""
+    """(u, v): for a task's edges, every node that is not the least of its component with the least one."""
 
-    def stars(u, v):
+    def stars(held):
+        u, v = map(np.concatenate, zip(*held))
         ids, at = np.unique(np.concatenate([u, v]), return_inverse=True)
         root = flat_components(len(ids), at[: len(u)], at[len(u) :])
         far = np.flatnonzero(root != np.arange(len(ids)))
-        return pa.record_batch([pa.array(ids[far]), pa.array(ids[root[far]])], ["u", "v"])
+        return ids[far], ids[root[far]]
 
     held, n = [], 0
     for batch in batches:
         held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
         n += batch.num_rows
-        if n >= CONTRACT:
-            yield stars(*map(np.concatenate, zip(*held)))
-            held, n = [], 0
+        if n > 2 * CONTRACT:  # partitions are uneven; a forest takes the place of its edges, unless it is as large
+            held = [stars(held)]
+            if (n := len(held[0][0])) > CONTRACT:
+                yield pa.record_batch(list(map(pa.array, held[0])), ["u", "v"])
+                held, n = [], 0
     if n:
-        yield stars(*map(np.concatenate, zip(*held)))
+        yield pa.record_batch(list(map(pa.array, stars(held))), ["u", "v"])
 
 
-def _contracted(edges: DataFrame) -> DataFrame:
-    return edges.select("u", "v").mapInArrow(_contract, "u long, v long")
+def _contracted(edges: DataFrame, tasks: int) -> DataFrame:
+    return edges.select("u", "v").coalesce(tasks).mapInArrow(_contract, "u long, v long")
 
 
 def _star(edges: DataFrame, large: bool, total: int) -> DataFrame:
@@ -73,15 +78,19 @@ def connected_components(edges: DataFrame, src: str = "u", dst: str = "v", max_r
     """
     ship(edges.sparkSession)
     e = edges.select(F.col(src).cast("long").alias("a"), F.col(dst).cast("long").alias("b")).where("a is not null and b is not null and a <> b")
-    e = cut(_contracted(e.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))))
+    e = cut(e.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")))
     for _ in range(max_rounds):
+        tasks = max(1, -(-e.count() // CONTRACT))
+        before, e = e, cut(_contracted(e, tasks))
+        release(before)
+        if tasks == 1:  # at most CONTRACT edges: one task has seen them all
+            break
         open_, total = _open(e)
         if not open_:
             break
         large = cut(_star(e, True, total).where("u <> v").distinct())
-        release(e)
-        e = cut(_contracted(_star(large, False, total).where("u <> v").distinct()))
-        release(large)
+        before, e = e, cut(_star(large, False, total).where("u <> v").distinct())
+        release(before, large)
     else:
         raise RuntimeError("connected components did not settle")
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
