@@ -247,22 +247,17 @@ def _square_pairs(open_: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataF
     return rows.repartition("key", "no", "a", "b").sortWithinPartitions("key", "no", "a", "b").mapInArrow(_near_in_squares, "u long, v long").distinct()
 
 
-def _merged(comps: DataFrame, links: DataFrame) -> DataFrame:
-    """(node, comp) of the nodes that have a link, now with these links as well; comp is the least node of a component."""
-    as_comp = lambda c: comps.select(F.col("node").alias(c), F.col("comp").alias("c" + c))
-    over = links.join(as_comp("u"), "u", "left").join(as_comp("v"), "v", "left")
-    over = over.select("u", "v", F.coalesce("cu", "u").alias("cu"), F.coalesce("cv", "v").alias("cv"))
-    top = connected_components(over, "cu", "cv").select(F.col("node").alias("comp"), F.col("component").alias("top"))
-    new = [over.select(F.col(c).alias("node"), F.col("c" + c).alias("comp")) for c in "uv"]
-    known = comps.unionByName(new[0]).unionByName(new[1]).distinct()
-    return cut(known.join(top, "comp", "left").select("node", F.coalesce("top", "comp").alias("comp")))
+def _merged(links: DataFrame, comps: DataFrame | None = None) -> DataFrame:
+    """(node, comp) of the nodes that have a link; components known before count as stars of links, so nothing is looked up."""
+    edges = links if comps is None else links.unionByName(comps.select(F.col("node").alias("u"), F.col("comp").alias("v")))
+    return connected_components(edges).select("node", F.col("component").alias("comp"))
 
 
 def _components(met: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
     """(node, comp) of the nodes that have a link. met: (key, no, node, m, hub), the members of keys with more than one."""
     total = met.count()
     links = cut(_confirmed(_near_hub(met.where("node <> hub").select(F.col("node").alias("u"), F.col("hub").alias("v")), nodes), texts))
-    comps = cut(connected_components(links).select("node", F.col("component").alias("comp")))
+    comps = _merged(links)
     release(links)
     for step in range(1, HUB_ROUNDS + 1):
         last = step == HUB_ROUNDS
@@ -277,9 +272,7 @@ def _components(met: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame
         else:
             pairs = _near_hub(open_.where("comp <> hubc").select(F.col("node").alias("u"), F.col("hub").alias("v")), nodes)
         links = cut(_confirmed(pairs, texts))
-        if not links.isEmpty():
-            before, comps = comps, _merged(comps, links)
-            release(before)
+        comps = _merged(links, comps)
         release(links, state)
     return comps
 
@@ -306,7 +299,7 @@ def classes(docs: DataFrame) -> DataFrame:
     # the components' least ids, then every row by its set
     found = nodes.select(*_GROUP, "m", "rep", "node").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = found.groupBy("comp").agg(F.min("rep").alias("component_id"), F.count("*").alias("size"))
-    found = join_counted(found, least, ["comp"], n_nodes, "size").select(*_GROUP, "m", "component_id")
+    found = cut(join_counted(found, cut(least), ["comp"], n_nodes, "size").select(*_GROUP, "m", "component_id"))
     done = join_counted(some.select("doc_id", "h", *_GROUP), found, _GROUP, n_rows).select("doc_id", "h", "n_shingles", "component_id")
     alone = rows.where("n_shingles = 0 or doc_id is null").select("doc_id", "h", "n_shingles", F.col("doc_id").alias("component_id"))
     return done.unionByName(alone)
