@@ -33,6 +33,7 @@ def test_names():
     p = {"threshold": 0.5, "sigma": [1, 1, 1], "fragments_in_xy": True, "randomized_strides": False, "bias": None, "merge_function": "mean"}
     assert naming.build_name(p) == "mfmean--t0.5--xy--sig1--rs0"
     assert naming.build_name({"strides": [[1, 2, 2], [2, 2, 2]]}) == "st1.2.2_2"
+    assert naming.build_name({"bias": [-0.5, -0.5], "threshold": 0.30000000000000004, "fragments_in_xy": False, "seed_eps": None, "remove_debris": 0}) == "t0.3--xy0--b-0.5--rd0"
     assert naming.default_output("a/b.zarr/seg", "filtered") == "a/b.zarr/seg_filtered"
     with pytest.raises(ValueError):
         naming.default_output("a/b", "x")

@@ -200,16 +200,23 @@ def test_pipelines_on_two_boxes(spark):
     names = ["az", "ay", "ax"]
     rows = [(int(z), int(y), int(x), *map(float, affs[:, z, y, x])) for z, y, x in np.ndindex(*affs.shape[1:]) if affs[:, z, y, x].any()]
     df = spark.createDataFrame(rows, "z long, y long, x long, az double, ay double, ax double")
-    ws = segment.watershed(df, names, affs.shape[1:], (0.5,), min_seed_distance=9, block=(2, 8, 17), context=(0, 0, 0))
+    ws = segment.watershed(df, names, affs.shape[1:], (0.5,), min_seed_distance=9, block=(2, 8, 17), context=(0, 0, 0), remove_debris=0)
     side = ws["segmentation"].withColumn("right", F.col("x") > 8).select("right", "segment").distinct().collect()
     assert len(side) == 2 and len({r["segment"] for r in side}) == 2
-    mws = segment.mutex(df, names, [(-1, 0, 0), (0, -1, 0), (0, 0, -1)], affs.shape[1:], [-0.5] * 3, block=(2, 8, 17), context=(0, 0, 0), noise_eps=None)
+    mws = segment.mutex(df, names, affs.shape[1:], [(-1, 0, 0), (0, -1, 0), (0, 0, -1)], [-0.5] * 3, block=(2, 8, 17), context=(0, 0, 0), noise_eps=None)
     side = mws["segmentation"].withColumn("right", F.col("x") > 8).select("right", "segment").distinct().collect()
     assert len(side) == 2 and len({r["segment"] for r in side}) == 2
-    cc = segment.threshold_components(df, names, 0.5, remove_debris=4)
+    cc = segment.threshold_components(df, names, threshold=0.5, remove_debris=4)
     assert cc.select("component").distinct().count() == 2
     with pytest.raises(ValueError):
-        segment.mutex(df, names, [(-1, 0, 0)], affs.shape[1:], [0.1, 0.2])
+        segment.mutex(df, names, affs.shape[1:], [(-1, 0, 0)], [0.1, 0.2])
+    # every method takes all that its configuration holds
+    shape, more = affs.shape[1:], {"block": (4, 8, 17)}
+    two = lambda d: len({r["segment"] for r in d.where("x < 8 or x > 8").select("segment").distinct().collect()})
+    assert two(segment.run_method("ws", df, names, shape, {"ws_params": {"thresholds": [0.5], "sigma": 0.1}}, **more)) == 2
+    assert two(segment.run_method("cc", df, names, shape, None, {"sigma": 0.1}, **more)) == 2
+    both = df.withColumns({f"l{k}": F.col(names[k % 3]) if k % 3 < 2 else F.lit(0.0) for k in range(6)})
+    assert two(segment.run_method("mws", both, [*names, *[f"l{k}" for k in range(6)]], shape, None, {"noise_eps": None, "strides": None}, **more)) == 2
 
 
 def test_augment(spark):

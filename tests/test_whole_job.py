@@ -43,16 +43,16 @@ def test_graph_queries_take_all_rows(spark):
     edges, nodes = _graph()
     run = lambda name: [tuple(r) for r in catalog.QUERIES[name](spark, FOLDER).collect()]
     upto = lambda t: [e for e, s in edges.items() if s is not None and s <= t]
-    assert dict(run("connected_components_whole")) == _parts(nodes, edges)
-    assert dict(run("components_at_threshold_whole")) == _parts(nodes, upto(0.03))
-    sweep = {(t, f): s for t, f, s in run("threshold_sweep_whole")}
+    assert dict(run("connected_components")) == _parts(nodes, edges)
+    assert dict(run("components_at_threshold")) == _parts(nodes, upto(0.03))
+    sweep = {(t, f): s for t, f, s in run("threshold_sweep")}
     assert sweep == {(t, f): s for t in (0.02, 0.03, 0.05) for f, s in _parts(nodes, upto(t)).items()}
-    assert {(u, v): s for u, v, s in run("graph_store_whole")} == {e: edges[e] for e in upto(0.04)}
-    assert len(run("best_threshold_whole")) == 2
+    assert {(u, v): s for u, v, s in run("graph_store")} == {e: edges[e] for e in upto(0.04)}
+    assert len(run("best_threshold")) == 2
     li = pd.read_parquet(f"{FOLDER}/lineitem.parquet")
     first = li.groupby("l_partkey")["l_suppkey"].min()
     kept = {int(p) + 1000000 for p, s in first.items() if s == 7} | ({7} & set(first))
-    assert {(u, v): s for u, v, s in run("segment_edges_whole")} == {e: s for e, s in edges.items() if set(e) <= kept}
+    assert {(u, v): s for u, v, s in run("segment_edges")} == {e: s for e, s in edges.items() if set(e) <= kept}
 
 
 def test_mutex_graph_takes_all_rows(spark):

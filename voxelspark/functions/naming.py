@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Mapping
+from functools import singledispatch
 
 # Parameters that names carry, in the order in which they appear, with their codes.
 CODES = {
@@ -25,21 +26,37 @@ CODES = {
 }
 
 
-def _value(v, between: str = "_") -> str:
-    if isinstance(v, list | tuple):
-        flat = [_value(x, ".") for x in v]
-        return flat[0] if len({*flat}) == 1 else between.join(flat)
-    return f"{v:g}" if isinstance(v, float) else str(v)
+#: What parts the items of a list, and of the lists inside it.
+SEPARATORS = ("_", ".")
+
+
+@singledispatch
+def spelled(value, depth: int = 0) -> str:
+    """A parameter as names spell it: a switch says only that it is off, numbers are short, a list of equal items is one of them."""
+    return str(value)
+
+
+@spelled.register
+def _(value: bool, depth: int = 0) -> str:
+    return str(value) if depth else "" if value else "0"
+
+
+@spelled.register
+def _(value: float, depth: int = 0) -> str:
+    return format(value, "g")
+
+
+@spelled.register(list)
+@spelled.register(tuple)
+def _(value, depth: int = 0) -> str:
+    items = {k: spelled(x, depth + 1) for k, x in enumerate(value)}
+    return SEPARATORS[min(depth, 1)].join(items.values()) if len({*items.values()}) != 1 else items[0]
 
 
 def build_name(params: Mapping, codes: Mapping[str, str] = CODES) -> str:
-    """A name that depends on the parameters alone: codes in fixed order, None left out, True bare, False with 0, equal lists as one value."""
-    out = []
-    for name, code in codes.items():
-        if (v := params.get(name)) is None:
-            continue
-        out.append(code if v is True else f"{code}0" if v is False else code + _value(v))
-    return "--".join(out)
+    """A name that depends on the parameters alone: those that are set, each as its code and value, in the codes' order."""
+    set_ = (c for c in codes if params.get(c) is not None)
+    return "--".join(map(lambda c: codes[c] + spelled(params[c]), set_))
 
 
 def provenance(params: Mapping) -> dict[str, str]:

@@ -154,8 +154,7 @@ def fragments(df: DataFrame, affs: tuple[str, ...], shape, in_xy: bool = True, m
         x = np.stack([a[c] for c in affs])
         if seed_eps is not None:
             x = kernels.seed_decay(x, seed_eps, min_seed_distance)
-        got = kernels.affinity_watershed(x, in_xy, 1.0, min_seed_distance)[0]
-        return kernels.components(got)[0]
+        return kernels.components(kernels.affinity_basins(x, in_xy, min_seed_distance))[0]
 
     op = BlockOp(run, affs, block, context, unique_ids=True, skip_below=1e-3)
     out = op.apply(df, shape, "fragment")

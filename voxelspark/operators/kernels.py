@@ -153,26 +153,25 @@ def watershed(height: np.ndarray, seeds: np.ndarray, mask: np.ndarray) -> np.nda
     return lab.reshape(shape)
 
 
-def distance_watershed(mask: np.ndarray, min_seed_distance: int = 10, id_offset: int = 0) -> tuple[np.ndarray, int]:
-    """Fragments of a mask from the maxima of its distance transform; and the largest id so far."""
-    dist = edt(mask)
-    if not np.isfinite(dist).all():
-        dist = np.where(np.isfinite(dist), dist, float(sum(mask.shape)))
-    seeds, n = components((box_max(dist, min_seed_distance) == dist).astype(int))
-    if not n:
-        return np.zeros(mask.shape, np.int64), id_offset
-    seeds = np.where(seeds > 0, seeds + id_offset, 0)
-    return watershed(dist.max() - dist, seeds, mask), n + id_offset
+def basins(mask: np.ndarray, reach: int) -> np.ndarray:
+    """Parts of a mask of any rank, flooded from the plateaus that lie farthest from its background within a box of ``reach``; numbered from 1.
 
+    Where there is no background, every voxel is as far as the sides are long together.
+    """
+    depth = np.minimum(edt(mask), float(sum(mask.shape)))
+    plateaus, _ = components((depth == box_max(depth, reach)).astype(int))
+    return watershed(-depth, plateaus, mask)
 
-def affinity_watershed(affs: np.ndarray, in_xy: bool, max_affinity: float = 1.0, min_seed_distance: int = 10) -> tuple[np.ndarray, int]:
-    """Fragments of (channel, z, y, x) affinities, section by section on the mean of the last two channels or in 3-D on the mean of all."""
-    if not in_xy:
-        return distance_watershed(affs.mean(0) > 0.5 * max_affinity, min_seed_distance)
-    mean, out, top = 0.5 * (affs[-1] + affs[-2]), np.zeros(affs.shape[1:], np.int64), 0
-    for z in range(mean.shape[0]):
-        out[z], top = distance_watershed(mean[z] > 0.5 * max_affinity, min_seed_distance, top)
-    return out, top
+
+def affinity_basins(affs: np.ndarray, flat: bool, reach: int = 10, most: float = 1.0) -> np.ndarray:
+    """Basins where (channel, z, y, x) affinities exceed half of ``most`` on average: of all channels in 3-D, or flat ones of the two in the plane, section by section.
+
+    Numbers of a section go on from the voxels of those before it, so no count is handed on.
+    """
+    if not flat:
+        return basins(affs.mean(0) > most / 2, reach)
+    sheets = affs[-2:].mean(0) > most / 2
+    return np.stack([np.where(got > 0, got + z * got.size, 0) for z, got in enumerate(basins(sheet, reach) for sheet in sheets)])
 
 
 def seed_decay(affs: np.ndarray, eps: float, min_seed_distance: int = 10) -> np.ndarray:
@@ -309,16 +308,25 @@ def mutex_watershed(n: int, u: np.ndarray, v: np.ndarray, w: np.ndarray) -> np.n
     return np.array([sets.find(i) for i in range(n)])
 
 
-def grid_edges(affs: np.ndarray, offsets, strides=None, mask: np.ndarray | None = None):
-    """(u, v, w) of (channel, z, y, x) signed affinities: each voxel and the one at its channel's offset, at every stride."""
+def grid_edges(affs: np.ndarray, offsets, strides=None, mask: np.ndarray | None = None, randomized: bool = False, seed: int = 0):
+    """(u, v, w) of (channel, z, y, x) signed affinities: each voxel and the one at its channel's offset, at every stride.
+
+    Randomized strides keep as large a share of a channel's edges, drawn instead of on a grid.
+    """
     shape = affs.shape[1:]
+    draw = np.random.default_rng(seed)
     at = np.arange(int(np.prod(shape))).reshape(shape)
     us, vs, ws = [], [], []
     for k, o in enumerate(offsets):
+        if any(abs(d) >= n for d, n in zip(o, shape)):  # longer than the volume
+            continue
         here = tuple(slice(max(0, -d), n - max(0, d)) for d, n in zip(o, shape))
         there = tuple(slice(max(0, d), n - max(0, -d)) for d, n in zip(o, shape))
         keep = np.ones(at[here].shape, bool)
-        if strides is not None:
+        if strides is not None and randomized:
+            share = 1 / np.prod(strides[k])
+            keep &= draw.random(keep.shape) < share if share < 1 else True
+        elif strides is not None:
             for axis, s in enumerate(strides[k]):
                 first = here[axis].start
                 keep &= np.expand_dims((np.arange(first, first + keep.shape[axis]) % s) == 0, tuple(a for a in range(3) if a != axis))
@@ -327,17 +335,18 @@ def grid_edges(affs: np.ndarray, offsets, strides=None, mask: np.ndarray | None
         us.append(at[here][keep])
         vs.append(at[there][keep])
         ws.append(affs[k][here][keep])
-    return np.concatenate(us), np.concatenate(vs), np.concatenate(ws)
+    none = np.empty(0, np.int64)
+    return np.concatenate([none, *us]), np.concatenate([none, *vs]), np.concatenate([np.empty(0), *ws])
 
 
-def affinity_mutex_watershed(affs, offsets, bias, strides=None, sigma=None, shift=None, mask=None) -> np.ndarray:
+def affinity_mutex_watershed(affs, offsets, bias, strides=None, sigma=None, shift=None, mask=None, randomized=False, seed=0) -> np.ndarray:
     """Labels of a volume by the mutex watershed of its biased affinities; ids from 1 in raster order."""
     w = affs.astype(float) + np.asarray(bias, float).reshape(-1, 1, 1, 1)
     if sigma is not None:
         w += gaussian(affs, (0, *sigma)) - affs
     if shift is not None:
         w += shift
-    u, v, s = grid_edges(w, offsets, strides, mask)
+    u, v, s = grid_edges(w, offsets, strides, mask, randomized, seed)
     lab = mutex_watershed(int(np.prod(affs.shape[1:])), u, v, s)
     ids, inv = np.unique(lab, return_inverse=True)
     out = (inv + 1).reshape(affs.shape[1:])

@@ -13,10 +13,11 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.configs import resolve
 from ..functions.roi import AXES
 from ..plans.lineage import cut
 from . import kernels, objects
-from .blocks import BlockOp, fragments
+from .blocks import BlockOp, fragments, smooth
 from .graphs import affinity_components, mutex_partition, threshold_sweep
 from .relabel import apply_lut
 from .select import apply_mask
@@ -107,14 +108,23 @@ def merge_within_blocks(frags: DataFrame, df: DataFrame, affs: Sequence[str], st
     return _block_boundaries(frags, df, affs, block, (0, 0, 0)).groupBy("bz", "by", "bx").applyInPandas(run, "fragment long, segment long")
 
 
+def _smoother(shape, sigma, block):
+    """A Gaussian over whole volumes by blocks, or none; one number is a sigma in the plane and across."""
+    if sigma is None:
+        return None
+    sigma = tuple(map(float, sigma)) if isinstance(sigma, list | tuple) else (float(sigma),) * 3
+    return lambda df, a: smooth(df, a, shape, sigma, block)
+
+
 def watershed(
     df: DataFrame, affs: Sequence[str], shape, thresholds: Sequence[float] = (0.2, 0.35, 0.5), fragments_in_xy: bool = True, min_seed_distance: int = 10, merge_function: str = "mean",
-    mask: DataFrame | None = None, block=(8, 64, 64), context=None, epsilon_agglomerate: float = 0.0, filter_fragments: float = 0.0, remove_debris: int = 0, bias=None, noise_eps=None, seed_eps: float | None = None,
+    mask: DataFrame | None = None, block=(8, 64, 64), context=None, epsilon_agglomerate: float = 0.0, filter_fragments: float = 0.1, remove_debris: int = 64, bias=None, noise_eps=None, seed_eps: float | None = None,
+    sigma=None,
 ) -> dict[str, DataFrame]:
     """Block-wise ``ws``: fragments, nodes, edges, lut (threshold, fragment, segment) and segmentation (threshold, z, y, x, segment)."""
     if mask is not None:
         df = apply_mask(df, mask, list(affs))
-    shifted = shift_affinities(df, affs, bias, noise_eps)
+    shifted = shift_affinities(df, affs, bias, noise_eps, _smoother(shape, sigma, block))
     frags = cut(fragments(shifted, tuple(affs), shape, fragments_in_xy, min_seed_distance, block, context, seed_eps))
     if filter_fragments:
         frags = objects.affinity_filter(df.join(frags, list(AXES)), "fragment", list(affs), filter_fragments).where("fragment <> 0").select(*AXES, "fragment")
@@ -152,28 +162,35 @@ def agglomeration_history(frags: DataFrame, df: DataFrame, affs: Sequence[str],
 
 
 def mutex(
-    df: DataFrame, affs: Sequence[str], offsets, shape, bias: Sequence[float], strides=None, mask: DataFrame | None = None, block=(16, 64, 64), context=None, remove_debris: int = 64,
-    noise_eps: float | None = 0.001, sigma=None, global_bias: tuple[float, float] = (1.0, -0.5), seed: int = 0,
+    df: DataFrame, affs: Sequence[str], shape, aff_neighborhood, bias: Sequence[float], strides=None, randomized_strides: bool = False, mask: DataFrame | None = None, block=(16, 64, 64), context=None,
+    filter_fragments: float | None = None, remove_debris: int = 64, noise_eps: float | None = 0.001, sigma=None, global_bias: tuple[float, float] = (1.0, -0.5), min_seed_distance: int | None = None, seed: int = 0,
 ) -> dict[str, DataFrame]:
-    """Block-wise ``mws``: mutex-watershed fragments of blocks, their mean boundary affinities, a global mutex partition with biases for short and long offsets, and the relabelled volume."""
-    if len(bias) != len(offsets):
-        raise ValueError("a bias for each offset is required")
+    """Block-wise ``mws``: mutex-watershed fragments of blocks, their mean boundary affinities, a global mutex partition with biases for short and long offsets, and the relabelled volume.
+
+    ``aff_neighborhood`` has an offset for each channel, ``bias`` and ``strides`` go with it. Fragments whose mean
+    affinity is below ``filter_fragments`` go. ``min_seed_distance`` is held by configurations; there are no seeds here.
+    """
+    offsets = [tuple(o) for o in aff_neighborhood]
+    if len(bias) != len(offsets) or len(affs) != len(offsets):
+        raise ValueError("a channel and a bias for each offset are required")
     if mask is not None:
         df = apply_mask(df, mask, list(affs))
-    shifted = shift_affinities(df, affs, None, noise_eps, seed=seed)
+    shifted = shift_affinities(df, affs, None, noise_eps, _smoother(shape, sigma, block), seed)
     context = context or tuple(max(1, s // 8) for s in block)
 
     def run(a):
         x = np.stack([a[c] for c in affs])
-        lab = kernels.affinity_mutex_watershed(x, offsets, bias, strides, sigma, mask=x.max(0) > 0)
+        lab = kernels.affinity_mutex_watershed(x, offsets, bias, strides, mask=x.max(0) > 0, randomized=randomized_strides, seed=seed)
         return kernels.components(lab)[0]
 
     frags = cut(BlockOp(run, tuple(affs), block, context, unique_ids=True, skip_below=1e-3).apply(shifted, shape, "fragment"))
+    if filter_fragments:
+        frags = objects.affinity_filter(df.join(frags, list(AXES)), "fragment", list(affs), filter_fragments).where("fragment <> 0").select(*AXES, "fragment")
     if remove_debris:
         frags = objects.remove_debris(frags, "fragment", remove_debris).where("fragment <> 0")
     from .neighbors import shifted_pairs
 
-    pairs = shifted_pairs(df.join(frags, list(AXES)), [tuple(o) for o in offsets], ["fragment", *affs]).where("fragment <> n_fragment")
+    pairs = shifted_pairs(df.join(frags, list(AXES)), offsets, ["fragment", *affs]).where("fragment <> n_fragment")
     value = F.element_at(F.array(*affs), F.col("o") + 1)
     short = [k for k, o in enumerate(offsets) if sum(map(abs, o)) == 1]
     kind = F.when(F.col("o").isin(short), 0).otherwise(1)
@@ -184,13 +201,21 @@ def mutex(
     return {"fragments": frags, "nodes": nodes, "edges": signed, "lut": lut, "segmentation": apply_lut(frags, "fragment", lut, "segment")}
 
 
-def threshold_components(df: DataFrame, affs: Sequence[str], threshold: float = 0.5, mask: DataFrame | None = None, noise_eps=None, remove_debris: int = 64, seed: int = 0, sign: int = 1) -> DataFrame:
+def threshold_components(
+    df: DataFrame, affs: Sequence[str], shape=None, threshold: float = 0.5, mask: DataFrame | None = None, noise_eps=None, remove_debris: int = 64, seed: int = 0, sign: int = 1, sigma=None, block=(64, 64, 64)
+) -> DataFrame:
     """``cc``: (z, y, x, component) of the first three channels above a threshold, small parts removed; distributed over the whole volume."""
     affs = list(affs)[:3]
     if mask is not None:
         df = apply_mask(df, mask, affs)
-    out = cut(affinity_components(shift_affinities(df, affs, None, noise_eps, seed=seed), affs, threshold, sign))
+    out = cut(affinity_components(shift_affinities(df, affs, None, noise_eps, _smoother(shape, sigma, block), seed), affs, threshold, sign))
     return objects.remove_debris(out, "component", remove_debris).where("component <> 0") if remove_debris else out
 
 
 METHODS: dict[str, Callable] = {"ws": watershed, "mws": mutex, "cc": threshold_components}
+
+
+def run_method(method: str, df: DataFrame, affs: Sequence[str], shape, config=None, overrides=None, **more) -> DataFrame:
+    """The segmentation by a method's resolved parameters: defaults, then the configuration's, then overrides. ``more`` holds the mask, blocks and the like."""
+    got = METHODS[method](df, affs, shape, **resolve(method, config, overrides), **more)
+    return got["segmentation"] if isinstance(got, dict) else got.withColumnRenamed("component", "segment")

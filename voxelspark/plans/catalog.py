@@ -33,17 +33,6 @@ def query(sql: str | None = None):
     return add
 
 
-def _whole(f) -> Query:
-    """The query on the graph of all orders, as NAME_whole; the SQL is that of large orders, so it has none."""
-
-    def run(spark, d):
-        return f(spark, d, derive.whole_graph)
-
-    run.__name__ = f"{f.__name__}_whole"
-    query()(run)
-    return f
-
-
 def _r(c: str, places: int = 8, name: str | None = None):
     """Rounded, without a negative zero, as doubles compare."""
     return (F.round(F.col(c), places) + 0.0).alias(name or c)
@@ -175,15 +164,14 @@ def volume_store(spark, d):
     return volumes.open_volume(spark, path, ROI, 8).select(*ZYX, "raw")
 
 
-@_whole
 @query(f"WITH {GRAPH} SELECT u, v, score FROM edges WHERE score <= 0.04")
-def graph_store(spark, d, graph=derive.graph):
+def graph_store(spark, d):
     import uuid
 
     from .lineage import ensure_checkpoint_dir
 
     path = f"{ensure_checkpoint_dir(spark)}/graph-{uuid.uuid4().hex}"
-    volumes.write_graph(None, graph(spark, d), path)
+    volumes.write_graph(None, derive.graph(spark, d), path)
     return volumes.read_graph(spark, {"kind": "parquet", "path": path}, "edges", "score <= 0.04").select("u", "v", "score")
 
 
@@ -314,12 +302,11 @@ def background_sites(spark, d):
     return got.agg(F.count("*").alias("sites"), F.count_if(F.col("label") == 0).alias("background"))
 
 
-@_whole
 @query(f"WITH {GRAPH}, {LUT}, f AS (SELECT fragment + 1000000 fragment, segment FROM lut UNION SELECT segment, segment FROM lut), k AS (SELECT fragment FROM f WHERE segment = 7) SELECT u, v, score FROM edges WHERE u IN (SELECT * FROM k) AND v IN (SELECT * FROM k)")
-def segment_edges(spark, d, graph=derive.graph):
+def segment_edges(spark, d):
     lut = derive.lookup(spark, d)
     f = lut.select((F.col("fragment") + 1000000).alias("fragment"), "segment").union(lut.select(F.col("segment").alias("fragment"), "segment")).distinct()
-    return relabel.segment_subgraph(graph(spark, d), f, 7)[1].select("u", "v", "score")
+    return relabel.segment_subgraph(derive.graph(spark, d), f, 7)[1].select("u", "v", "score")
 
 
 # --- resampling
@@ -475,18 +462,17 @@ THRESHOLDS = [0.02, 0.03, 0.05]
 def _sweep_sql(tail: str) -> str:
     return f"""WITH RECURSIVE {GRAPH}, th(threshold) AS (VALUES (0.02), (0.03), (0.05)), n AS (SELECT u id FROM edges UNION SELECT v FROM edges),
 e AS MATERIALIZED (SELECT threshold, u, v FROM edges, th WHERE score <= threshold UNION ALL SELECT threshold, v, u FROM edges, th WHERE score <= threshold),
-r AS (SELECT threshold, id src, id dst FROM n, th UNION SELECT r.threshold, r.src, e.v FROM r JOIN e ON e.threshold = r.threshold AND e.u = r.dst),
-lut AS (SELECT threshold::DOUBLE threshold, src fragment, min(dst) segment FROM r GROUP BY 1, 2) {tail}"""
+r(threshold, src, dst) USING KEY (threshold, src) AS (SELECT threshold, id, id FROM n, th UNION (SELECT e.threshold, e.u, min(r.dst) FROM r JOIN e ON e.threshold = r.threshold AND e.v = r.src JOIN recurring.r k ON k.threshold = e.threshold AND k.src = e.u WHERE r.dst < k.dst GROUP BY 1, 2)),
+lut AS (SELECT threshold::DOUBLE threshold, src fragment, dst segment FROM r) {tail}"""
 
 
 def _nodes(g):
     return g.select(F.explode(F.array("u", "v")).alias("id")).distinct()
 
 
-@_whole
 @query(_sweep_sql("SELECT threshold, fragment, segment FROM lut"))
-def threshold_sweep(spark, d, graph=derive.graph):
-    g = graph(spark, d)
+def threshold_sweep(spark, d):
+    g = derive.graph(spark, d)
     return graphs.threshold_sweep(_nodes(g), g, THRESHOLDS)
 
 
@@ -494,10 +480,9 @@ _BEST = """, src AS (SELECT threshold k, fragment % 20 + 1 gt, segment seg FROM
 SELECT 'nvi_sum' metric, (SELECT threshold FROM m ORDER BY nvi_sum, threshold LIMIT 1) threshold, (SELECT min(nvi_sum) FROM m) + 0.0 "value" UNION ALL SELECT 'voi_split', (SELECT threshold FROM m ORDER BY voi_split, threshold LIMIT 1), (SELECT min(voi_split) FROM m) + 0.0"""
 
 
-@_whole
 @query(_sweep_sql(_BEST))
-def best_threshold(spark, d, graph=derive.graph):
-    lut = threshold_sweep(spark, d, graph).select("threshold", (F.col("fragment") % 20 + 1).alias("gt"), "segment")
+def best_threshold(spark, d):
+    lut = threshold_sweep(spark, d).select("threshold", (F.col("fragment") % 20 + 1).alias("gt"), "segment")
     m = evaluate.rand_voi(lut, "gt", "segment", ["threshold"]).select("threshold", _r("nvi_sum"), _r("voi_split"))
     return evaluate.best_thresholds(m, "nvi_sum", "voi_split")
 
@@ -535,18 +520,16 @@ def error_map_embedding(spark, d):
 # --- components
 
 
-@_whole
-@query(f"WITH RECURSIVE {GRAPH}, e AS MATERIALIZED (SELECT u, v FROM edges UNION ALL SELECT v, u FROM edges), r AS (SELECT u src, u dst FROM e UNION SELECT r.src, e.v FROM r JOIN e ON e.u = r.dst) SELECT src node, min(dst) component FROM r GROUP BY 1")
-def connected_components(spark, d, graph=derive.graph):
+@query(f"WITH RECURSIVE {GRAPH}, e AS MATERIALIZED (SELECT u, v FROM edges UNION ALL SELECT v, u FROM edges), r(src, dst) USING KEY (src) AS (SELECT DISTINCT u, u FROM e UNION (SELECT e.u, min(r.dst) FROM r JOIN e ON e.v = r.src JOIN recurring.r k ON k.src = e.u WHERE r.dst < k.dst GROUP BY 1)) SELECT src node, dst component FROM r")
+def connected_components(spark, d):
     from ..operators.components import connected_components as cc
 
-    return cc(graph(spark, d))
+    return cc(derive.graph(spark, d))
 
 
-@_whole
 @query(_sweep_sql("SELECT fragment, segment FROM lut WHERE threshold = 0.03"))
-def components_at_threshold(spark, d, graph=derive.graph):
-    g = graph(spark, d)
+def components_at_threshold(spark, d):
+    g = derive.graph(spark, d)
     return graphs.components_at(_nodes(g), g, 0.03)
 
 
@@ -604,7 +587,7 @@ def merge_split_stats(spark, d):
 @query()
 def edits_needed(spark, d):
     # a supplier is 0, which in labels is background: ids count from 1 here
-    g = derive.whole_graph(spark, d).select((F.col("u") + 1).alias("u"), (F.col("v") + 1).alias("v"), "score")
+    g = derive.graph(spark, d).select((F.col("u") + 1).alias("u"), (F.col("v") + 1).alias("v"), "score")
     lut = graphs.components_at(_nodes(g), g, 0.03)
     sites = g.select(((F.col("u") - 1) % 7).alias("skel"), F.col("u").alias("fragment")).distinct()
     cuts = evaluate.min_cut_edits(lut, g, sites)
@@ -714,12 +697,15 @@ def watershed_slices(spark, d):
 
 @query()
 def segment_ws(spark, d):
-    return segment.watershed(_soft(spark, d), ["az", "ay", "ax"], SHAPE, (0.2, 0.35), min_seed_distance=5, block=(21, 48, 48))["segmentation"]
+    return segment.watershed(_soft(spark, d), ["az", "ay", "ax"], SHAPE, (0.2, 0.35), min_seed_distance=5, block=(21, 48, 48), filter_fragments=0.0, remove_debris=0)["segmentation"]
 
 
 @query()
 def segment_mws(spark, d):
-    return segment.mutex(_soft(spark, d), ["az", "ay", "ax"], OFFSETS[:3], SHAPE, [-0.6, -0.6, -0.6], block=(12, 48, 48), remove_debris=2)["segmentation"]
+    near, far = [(-1, 0, 0), (0, -1, 0), (0, 0, -1)], [(-2, 0, 0), (0, -5, 0), (0, 0, -5)]
+    v = _soft(spark, d).withColumns({f"f{c}": F.round(1 - F.col(c) * 0.9, 6) for c in ("az", "ay", "ax")})
+    names, strides = ["az", "ay", "ax", "faz", "fay", "fax"], [(1, 1, 1)] * 3 + [(1, 3, 3)] * 3
+    return segment.mutex(v, names, SHAPE, near + far, [-0.6] * 3 + [-0.75] * 3, strides, True, block=(12, 48, 48), filter_fragments=0.1, remove_debris=2)["segmentation"]
 
 
 @query(f"""WITH RECURSIVE {AFFS}, o AS MATERIALIZED (SELECT (z << 40) + (y << 20) + x + 1 AS "key", z, y, x, az > 0.8 hz, ay > 0.8 hy, ax > 0.8 hx FROM affs WHERE az > 0.8 OR ay > 0.8 OR ax > 0.8),
@@ -727,7 +713,7 @@ h AS (SELECT a."key" u, b."key" v FROM o a JOIN o b ON a.hz AND b.z = a.z + 1 AN
 e AS MATERIALIZED (SELECT u, v FROM h UNION ALL SELECT v, u FROM h), r AS (SELECT "key" src, "key" dst FROM o UNION SELECT r.src, e.v FROM r JOIN e ON e.u = r.dst), c AS (SELECT src, min(dst) component FROM r GROUP BY 1), s AS (SELECT component FROM c GROUP BY 1 HAVING count(*) >= 4)
 SELECT z, y, x, component FROM o JOIN c ON src = "key" WHERE component IN (SELECT component FROM s)""")
 def segment_cc(spark, d):
-    return segment.threshold_components(derive.affinity_volume(spark, d), ["az", "ay", "ax"], 0.8, remove_debris=4)
+    return segment.threshold_components(derive.affinity_volume(spark, d), ["az", "ay", "ax"], threshold=0.8, remove_debris=4)
 
 
 @query()
@@ -739,13 +725,13 @@ def agglomeration_history(spark, d):
 
 @query()
 def mutex_graph(spark, d):
-    g = derive.whole_graph(spark, d).select("u", "v", (0.05 - F.coalesce("score", F.lit(0.05))).alias("score"))
+    g = derive.graph(spark, d).select("u", "v", (0.05 - F.coalesce("score", F.lit(0.05))).alias("score"))
     return graphs.mutex_partition(_nodes(g), g)
 
 
 @query()
 def segment_ws_seed_decay(spark, d):
-    return segment.watershed(_soft(spark, d), ["az", "ay", "ax"], SHAPE, (0.35,), min_seed_distance=5, block=(12, 48, 48), epsilon_agglomerate=0.1, filter_fragments=0.5, seed_eps=0.02)["segmentation"]
+    return segment.watershed(_soft(spark, d), ["az", "ay", "ax"], SHAPE, (0.35,), min_seed_distance=5, block=(12, 48, 48), epsilon_agglomerate=0.1, filter_fragments=0.5, remove_debris=0, seed_eps=0.02)["segmentation"]
 
 
 @query()

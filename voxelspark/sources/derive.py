@@ -52,21 +52,12 @@ LUT = "lut AS (SELECT l_partkey fragment, min(l_suppkey) segment FROM lineitem G
 
 
 def graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(u, v, score): suppliers u and parts v + 1000000 of large orders, scored by their mean discount; unscored where the tax is high. The graph of ``GRAPH``."""
-    return _edges(table(spark, sf_dir, "lineitem").where("l_quantity >= 49"))
-
-
-def whole_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(u, v, score) as in :func:`graph`, of all orders."""
-    return _edges(table(spark, sf_dir, "lineitem"))
-
-
-def _edges(li: DataFrame) -> DataFrame:
+    """(u, v, score): suppliers u and parts v + 1000000 of all orders, scored by their mean discount; unscored where the tax is high."""
     score = F.when(F.max("l_tax") < 0.08, F.round(F.avg("l_discount"), 6))
-    return li.groupBy(F.col("l_suppkey").alias("u"), (F.col("l_partkey") + 1000000).alias("v")).agg((score + 0.0).alias("score"))
+    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("u"), (F.col("l_partkey") + 1000000).alias("v")).agg((score + 0.0).alias("score"))
 
 
-GRAPH = "edges AS (SELECT l_suppkey u, l_partkey + 1000000 v, CASE WHEN max(l_tax) < 0.08 THEN round(avg(l_discount), 6) + 0.0 END score FROM lineitem WHERE l_quantity >= 49 GROUP BY 1, 2)"
+GRAPH = "edges AS (SELECT l_suppkey u, l_partkey + 1000000 v, CASE WHEN max(l_tax) < 0.08 THEN round(avg(l_discount), 6) + 0.0 END score FROM lineitem GROUP BY 1, 2)"
 
 
 def skeletons(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

@@ -181,16 +181,16 @@ def read_graphml(spark: SparkSession, path: str, roi: Roi | None = None, strict:
 
 
 def read_graph(spark: SparkSession, store: Mapping, what: str, where: str | None = None) -> DataFrame:
-    """Nodes or edges of a graph store; the predicate is pushed to the source."""
+    """Nodes or edges of a graph store; the predicate is pushed to the source, but one that asks for a score holds for the settled one."""
     if store["kind"] == "parquet":
-        df = spark.read.parquet(f"{store['path']}/{what}")
+        df = _settled(spark.read.parquet(f"{store['path']}/{what}"))
     else:
         df = spark.read.format("jdbc").options(url=store["url"], dbtable=store[what], **{k: store[k] for k in ("user", "password") if k in store}).load()
     return df.where(where) if where else df
 
 
 def write_graph(nodes: DataFrame | None, edges: DataFrame | None, path: str) -> None:
-    """Appends nodes and edges of blocks; one row per node and per undirected edge, the smaller score where blocks disagree."""
+    """Appends nodes and edges of blocks, each block's once; :func:`read_graph` settles what several blocks wrote."""
     if nodes is not None:
         nodes.dropDuplicates(["id"]).write.mode("append").parquet(f"{path}/nodes")
     if edges is not None:
@@ -198,6 +198,11 @@ def write_graph(nodes: DataFrame | None, edges: DataFrame | None, path: str) ->
         e.groupBy("u", "v").agg(F.min("score").alias("score")).write.mode("append").parquet(f"{path}/edges")
 
 
+def _settled(df: DataFrame) -> DataFrame:
+    """One row per node, or per undirected edge with the smallest score that a block gave it."""
+    return df.dropDuplicates(["id"]) if "id" in df.columns else df.groupBy("u", "v").agg(F.min("score").alias("score"))
+
+
 def read_lut_json(spark: SparkSession, path: str) -> DataFrame:
     """(fragment, segment) of a JSON document ``{"merges": {"segment": [fragments]}}`` or of the inner object alone."""
     text = spark.read.text(path, wholetext=True)
