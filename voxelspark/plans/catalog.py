@@ -638,38 +638,74 @@ def synthetic_labels(spark, d):
 # --- kernels on blocks and pipelines
 
 
-def _labels3(spark, d):
-    return derive.voxels(spark, d).where("label > 3").select(*ZYX, "label")
+_BOX = (6, 6, 8)
+_IN = f"z BETWEEN 0 AND {SHAPE[0] - 1} AND y BETWEEN 0 AND {SHAPE[1] - 1} AND x BETWEEN 0 AND {SHAPE[2] - 1}"
+_STEPS = "st(dz, dy, dx) AS (VALUES (0, 0, 1), (0, 1, 0), (1, 0, 0), (0, 0, -1), (0, -1, 0), (-1, 0, 0))"
+_SOLID = f"""{VOXELS}, cell AS (SELECT z // {_BOX[0]} cz, y // {_BOX[1]} cy, x // {_BOX[2]} cx, sum("label" * 3 + seg) % 3 l FROM vox GROUP BY 1, 2, 3),
+v0 AS MATERIALIZED (SELECT cz * {_BOX[0]} + a z, cy * {_BOX[1]} + b y, cx * {_BOX[2]} + c x, l::BIGINT l FROM cell, range({_BOX[0]}) p(a), range({_BOX[1]}) q(b), range({_BOX[2]}) r(c) WHERE l > 0), {_STEPS}"""
 
 
-def _morph(name, op, **kw):
+def _solid(spark, d):
+    """Labels that fill whole boxes of ``_BOX``, as kernels that look around need something solid."""
+    v = derive.voxels(spark, d)
+    cells = v.groupBy(*[F.floor(F.col(a) / n).alias("c" + a) for a, n in zip(ZYX, _BOX)]).agg((F.sum(F.col("label") * 3 + F.col("seg")) % 3).alias("label")).where("label > 0")
+    for a, n in zip(ZYX, _BOX):
+        cells = cells.withColumn(a, F.explode(F.sequence(F.col("c" + a) * n, F.col("c" + a) * n + n - 1)))
+    return cells.select(*ZYX, "label").where(_IN)
+
+
+def _dilated(a: str, b: str) -> str:
+    """SQL: b is a with background beside a label taken by the smallest one."""
+    return f", {b} AS MATERIALIZED (SELECT z, y, x, coalesce(max(l) FILTER (own), min(l)) l FROM (SELECT z, y, x, l, true own FROM {a} UNION ALL SELECT z + dz, y + dy, x + dx, l, false FROM {a}, st) WHERE {_IN} GROUP BY 1, 2, 3)"
+
+
+def _eroded(a: str, b: str) -> str:
+    """SQL: b is a without voxels beside another value; beyond the edge the value goes on."""
+    out = "+".join(f"({c} = 0)::INT + ({c} = {n - 1})::INT" for c, n in zip(ZYX, SHAPE))
+    return f", {b} AS MATERIALIZED (SELECT z, y, x, l FROM {a} LEFT JOIN (SELECT p.z, p.y, p.x, count(*) n FROM (SELECT *, z + dz nz, y + dy ny, x + dx nx FROM {a}, st) p JOIN {a} q ON q.z = nz AND q.y = ny AND q.x = nx AND q.l = p.l GROUP BY 1, 2, 3) USING (z, y, x) WHERE coalesce(n, 0) + {out} = 6)"
+
+
+def _morph(name, op, steps=()):
     def run(spark, d):
-        return blocks.morph(_labels3(spark, d), "label", SHAPE, op, block=(28, 48, 48), **kw)
+        return blocks.morph(_solid(spark, d), "label", SHAPE, op, block=(28, 48, 48))
 
     run.__name__ = name
-    return query()(run)
+    sql = f"WITH {_SOLID}" + "".join(f(f"v{k}", f"v{k + 1}") for k, f in enumerate(steps)) + f' SELECT z, y, x, l "value" FROM v{len(steps)}'
+    return query(sql if steps else None)(run)
 
 
-for _n, _op in (("morph_dilate", "dilate"), ("morph_erode", "erode"), ("morph_opening", "opening"), ("morph_closing", "closing"), ("fill_holes", "fill_holes")):
-    _morph(_n, _op)
+for _n, _op, _how in (("morph_dilate", "dilate", (_dilated,)), ("morph_erode", "erode", (_eroded,)), ("morph_opening", "opening", (_eroded, _dilated)), ("morph_closing", "closing", (_dilated, _eroded)), ("fill_holes", "fill_holes", ())):
+    _morph(_n, _op, _how)
 
 
-@query()
+@query(f"""WITH {VOXELS}, m AS (SELECT z, y, x FROM vox WHERE seg > 0), al AS (SELECT s.z, a.y, b.x FROM (SELECT DISTINCT z FROM m) s, range({SHAPE[1]}) a(y), range({SHAPE[2]}) b(x)), bg AS (SELECT * FROM al ANTI JOIN m USING (z, y, x)),
+d AS (SELECT m.z, m.y, m.x, min(pow(m.y - bg.y, 2) + pow(m.x - bg.x, 2)) d FROM m LEFT JOIN bg ON bg.z = m.z GROUP BY 1, 2, 3) SELECT z, y, x, coalesce(round(sqrt(d), 8), 'inf'::DOUBLE) + 0.0 "value" FROM d""")
 def edt(spark, d):
     return blocks.distance_transform(derive.voxels(spark, d).where("seg > 0").select(*ZYX, "seg"), "seg", SHAPE, True, (28, 48, 48)).select(*ZYX, F.round("value", 8).alias("value"))
 
 
-@query()
+def _gaussian_sql(axis: str, n: int, a: str, b: str) -> str:
+    """SQL: b is a smoothed along an axis by a Gaussian of sigma 1 with mirrored edges; each voxel deals its weight out."""
+    to = f"CASE WHEN {axis} + k < 0 THEN -1 - {axis} - k WHEN {axis} + k >= {n} THEN {2 * n - 1} - {axis} - k ELSE {axis} + k END"
+    rest = [c for c in ZYX if c != axis]
+    # what a place takes from one beyond the edge comes from the mirrored one, so weights are gathered, not dealt
+    return f", {b} AS (SELECT t.{axis}, {', '.join('s.' + c for c in rest)}, sum(s.v * t.w) v FROM (SELECT {axis}, {to} f, w FROM range({n}) i({axis}), g) t JOIN {a} s ON s.{axis} = t.f GROUP BY 1, 2, 3)"
+
+
+@query(
+    f"WITH {VOXELS}, e AS (SELECT k, exp(-0.5 * k * k) w FROM range(-4, 5) r(k)), g AS (SELECT k, w / sum(w) OVER () w FROM e), v0 AS (SELECT z, y, x, raw v FROM vox)"
+    + _gaussian_sql("y", SHAPE[1], "v0", "v1") + _gaussian_sql("x", SHAPE[2], "v1", "v2") + ' SELECT z, y, x, round(v, 8) + 0.0 "value" FROM v2 WHERE v <> 0'
+)
 def gaussian_smooth(spark, d):
     return blocks.smooth(derive.voxels(spark, d).select(*ZYX, "raw"), "raw", SHAPE, (0.0, 1.0, 1.0), (28, 48, 48)).select(*ZYX, F.round("value", 8).alias("value"))
 
 
 @query()
 def grow_random(spark, d):
-    return blocks.grow_random(_labels3(spark, d), "label", SHAPE, 1, block=(28, 48, 48))
+    return blocks.grow_random(_solid(spark, d), "label", SHAPE, 1, block=(28, 48, 48))
 
 
-@query()
+@query(f'WITH {VOXELS} SELECT z, y, x, round(raw / 50.0, 8) + 0.0 "value" FROM vox WHERE raw <> 0')
 def block_inference(spark, d):
     v = derive.voxels(spark, d).select(*ZYX, "raw")
     return blocks.infer(v, ("raw",), SHAPE, lambda a: a["raw"] / 50.0, (28, 48, 48), (0, 2, 2)).select(*ZYX, F.round("value", 8).alias("value"))
@@ -682,7 +718,7 @@ def clahe(spark, d):
 
 @query()
 def local_shape_descriptor(spark, d):
-    return blocks.descriptors(_labels3(spark, d), "label", SHAPE, 1.0, 0, (28, 48, 48)).select(*ZYX, F.round("value", 8).alias("value"))
+    return blocks.descriptors(_solid(spark, d), "label", SHAPE, 1.0, 0, (28, 48, 48)).select(*ZYX, F.round("value", 8).alias("value"))
 
 
 def _soft(spark, d):
