@@ -122,7 +122,8 @@ def shift_sections(df: DataFrame, reach: int, seed: int = 0, p: float = 1.0) ->
 def intensity(df: DataFrame, value: str, scale: tuple, shift: tuple, seed: int = 0, per_section: bool = True) -> DataFrame:
     """mean + (value - mean) * scale + shift with drawn scale and shift, by section or for the volume; clipped to [0, 1]."""
     key = ["z"] if per_section else [F.lit(0)]
-    mean = F.avg(value).over(Window.partitionBy(*key))
+    # one number of the whole volume is an aggregate, not a window that one task would hold
+    mean = F.avg(value).over(Window.partitionBy(*key)) if per_section else F.lit(df.agg(F.avg(value)).first()[0])
     s, b = (F.lit(lo) + uniform(seed + k, *key) * (hi - lo) for k, (lo, hi) in enumerate((scale, shift)))
     return df.withColumn(value, F.greatest(F.lit(0.0), F.least(F.lit(1.0), mean + (F.col(value) - mean) * s + b)))
 

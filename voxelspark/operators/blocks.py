@@ -23,7 +23,8 @@ class BlockOp:
     """``kernel(arrays) -> array``: arrays by value column, dense over the read box; the result over the same box.
 
     ``reach`` is how far the kernel's result at a voxel depends on others; the halo must cover it. With
-    ``unique_ids`` the result is ids that count from 1 in each block. Blocks without a value are not run.
+    ``unique_ids`` the result is ids that count from 1 in each block. Blocks without a value are not run. With an
+    array type the result has its channels first, and voxels without any but zeros are left out.
     """
 
     kernel: Callable[[dict[str, np.ndarray]], np.ndarray]
@@ -45,7 +46,7 @@ class BlockOp:
         voxels = int(np.prod(self.block))
         if self.unique_ids and int(np.prod(grid)) * voxels >= 2**63:
             raise ValueError("block ids do not fit 64 bits")
-        op, dtype = self, self.dtype
+        op, dtype, many = self, self.dtype, self.dtype.startswith("array")
 
         def run(pdf: pd.DataFrame) -> pd.DataFrame:
             b = [int(pdf[f"b{a}"].iloc[0]) for a in AXES]
@@ -57,10 +58,15 @@ class BlockOp:
                 col = pdf[v].to_numpy()
                 arrays[v] = np.zeros([h - l for h, l in zip(hi, lo)], col.dtype if col.dtype != object else float)
                 arrays[v][at] = col
-            empty = pd.DataFrame({**{a: np.empty(0, np.int64) for a in AXES}, out: np.empty(0, np.int64 if dtype == "long" else float)})
+            empty = pd.DataFrame({**{a: np.empty(0, np.int64) for a in AXES}, out: np.empty(0, object if many else np.int64 if dtype == "long" else float)})
             if op.skip_below is not None and max(float(a.max()) for a in arrays.values()) < op.skip_below:
                 return empty
             got = op.kernel(arrays)
+            if many:  # channels first
+                core = tuple(slice(k * s - l, min(n, (k + 1) * s) - l) for k, s, l, n in zip(b, op.block, lo, shape))
+                got = got[(slice(None), *core)]
+                z, y, x = np.nonzero((got != 0).any(0))
+                return pd.DataFrame({"z": z + core[0].start + lo[0], "y": y + core[1].start + lo[1], "x": x + core[2].start + lo[2], out: list(got[:, z, y, x].T)}) if len(z) else empty
             core = tuple(slice(k * s - l, min(n, (k + 1) * s) - l) for k, s, l, n in zip(b, op.block, lo, shape))
             got = got[core]
             z, y, x = np.nonzero(got)

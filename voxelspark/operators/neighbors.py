@@ -57,8 +57,12 @@ def equal_neighbour_edges(df: DataFrame, label: str) -> DataFrame:
 
 
 def voxel_key(bits: int = 20) -> Column:
-    """A voxel's raster order as one number from 1, for coordinates from 0 to 2^bits - 1; 0 stays background."""
-    return F.shiftleft(F.col("z"), 2 * bits) + F.shiftleft(F.col("y"), bits) + F.col("x") + 1
+    """A voxel's raster order as one number from 1, for coordinates from 0 to 2^bits - 1; others are an error, 0 stays background."""
+    inside = F.lit(True)
+    for a in ("z", "y", "x"):
+        inside = inside & F.col(a).between(0, (1 << bits) - 1)
+    key = F.shiftleft(F.col("z"), 2 * bits) + F.shiftleft(F.col("y"), bits) + F.col("x") + 1
+    return F.when(inside, key).otherwise(F.raise_error(F.lit(f"a coordinate does not fit {bits} bits")).cast("long"))
 
 
 def block_halo(df: DataFrame, block: tuple, halo: tuple, grid: tuple | None = None) -> DataFrame:

@@ -796,17 +796,47 @@ def evaluate_segmentations(spark, d):
     return m.select("segmentation", *[_r(c) for c in ("voi_split", "voi_merge", "rand_split", "rand_merge")])
 
 
-_AFF_TARGET = f"""WITH {VOXELS}, {_OFF}, w AS (SELECT *, min("label") OVER a la, max("label") OVER a ha, min("label") OVER b lb, max("label") OVER b hb FROM vox WINDOW a AS (PARTITION BY z, x ORDER BY y RANGE BETWEEN 1 PRECEDING AND 1 FOLLOWING), b AS (PARTITION BY z, y ORDER BY x RANGE BETWEEN 1 PRECEDING AND 1 FOLLOWING)),
+def _aff_target_sql(offsets, slab: int) -> str:
+    """SQL: affinities of labels shrunk by a step and their balance weights by offset and slab of sections."""
+    off = "off(o, dz, dy, dx) AS (VALUES " + ", ".join(f"({k}, {z}, {y}, {x})" for k, (z, y, x) in enumerate(offsets)) + ")"
+    part = f"a.z // {slab}" if slab else "0"
+    return f"""WITH {VOXELS}, {off}, w AS (SELECT *, min("label") OVER a la, max("label") OVER a ha, min("label") OVER b lb, max("label") OVER b hb FROM vox WINDOW a AS (PARTITION BY z, x ORDER BY y RANGE BETWEEN 1 PRECEDING AND 1 FOLLOWING), b AS (PARTITION BY z, y ORDER BY x RANGE BETWEEN 1 PRECEDING AND 1 FOLLOWING)),
 g AS (SELECT z, y, x, CASE WHEN least(la, lb) = greatest(ha, hb) THEN "label" ELSE 0 END l FROM w), a AS (SELECT a.z, a.y, a.x, o, (a.l = b.l AND a.l <> 0)::INT aff FROM g a, off JOIN g b ON b.z = a.z + dz AND b.y = a.y + dy AND b.x = a.x + dx),
-f AS (SELECT o, z // 3 slab, aff, count(*) n FROM a GROUP BY 1, 2, 3), k AS (SELECT *, sum(n) OVER (PARTITION BY o, slab) t, count(*) OVER (PARTITION BY o, slab) c FROM f)
-SELECT z, y, x, a.o, a.aff, round(t / (c * n), 8) + 0.0 weight FROM a JOIN k ON k.o = a.o AND slab = z // 3 AND k.aff = a.aff"""
+f AS (SELECT o, {part} slab, aff, count(*) n FROM a a GROUP BY 1, 2, 3), k AS (SELECT *, sum(n) OVER (PARTITION BY o, slab) t, count(*) OVER (PARTITION BY o, slab) c FROM f)
+SELECT z, y, x, a.o, a.aff, round(t / (c * n), 8) + 0.0 weight FROM a JOIN k ON k.o = a.o AND slab = {part} AND k.aff = a.aff"""
 
 
-@query(_AFF_TARGET)
+@query(_aff_target_sql(OFFSETS, 3))
 def training_affinities(spark, d):
     return training.affinity_targets(derive.voxels(spark, d).select(*ZYX, "label"), "label", OFFSETS, 1, 3).select(*ZYX, "o", "aff", _r("weight"))
 
 
+# Offsets of the model kinds: six in the plane or in space, nine where a third step is learnt.
+_PLANE = [(0, -1, 0), (0, 0, -1), (0, -2, 0), (0, 0, -2), (0, -3, 0), (0, 0, -3)]
+_SPACE = [(-1, 0, 0), (0, -1, 0), (0, 0, -1), (-2, 0, 0), (0, -3, 0), (0, 0, -3)]
+
+
+def _model(name: str):
+    """The targets that a model learns from: its affinities, else its descriptors."""
+    m = training.MODELS[name]
+    n = m.outputs.get("affs")
+    offsets = _PLANE if m.dims == 2 else _SPACE + [(-3, 0, 0), (0, -9, 0), (0, 0, -9)][: (n or 6) - 6]
+
+    def run(spark, d):
+        v = derive.voxels(spark, d).select(*ZYX, (F.col("raw") / 50).alias("raw"), "label")
+        s = training.training_sample(name, v, SHAPE, offsets, 1.0)
+        if n:
+            return s["affs"].select(*ZYX, "o", "aff", _r("weight"))
+        return s["lsds"].select(*ZYX, F.size("lsd").alias("channels"), F.round(F.aggregate("lsd", F.lit(0.0), lambda a, b: a + b), 6).alias("total"))
+
+    run.__name__ = f"model_{name}"
+    query(_aff_target_sql(offsets, 3 if m.synthetic else 0) if n else None)(run)
+
+
+for _n in training.MODELS:
+    _model(_n)
+
+
 @query()
 def training_sample_3d(spark, d):
     v = derive.voxels(spark, d).select(*ZYX, (F.col("raw") / 50).alias("raw"), "label")

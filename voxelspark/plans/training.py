@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -75,17 +76,14 @@ def descriptor_targets(df: DataFrame, label: str, shape, sigma: float, channels:
     """(z, y, x, lsd): descriptor arrays; six channels are those of each section by itself."""
     per_section = channels == 6
     reach = int(4 * sigma + 0.5)
-    out = None
-    for c in range(channels):
 
-        def one(a, c=c):
-            lab = a[label]
-            return kernels.local_shape_descriptors(lab, sigma)[c] if not per_section else kernels.np.stack([kernels.local_shape_descriptors(s, sigma)[c] for s in lab])
+    def all_channels(a):
+        lab = a[label]
+        got = np.stack([kernels.local_shape_descriptors(s, sigma) for s in lab], 1) if per_section else kernels.local_shape_descriptors(lab, sigma)
+        return np.asarray(got)[:channels]
 
-        halo = (0 if per_section else reach, reach, reach)
-        got = blocks.BlockOp(one, (label,), block, halo, halo, "double").apply(df, shape, f"c{c}")
-        out = got if out is None else out.join(got, list(AXES), "outer")
-    return out.select(*AXES, F.array(*[F.coalesce(f"c{c}", F.lit(0.0)) for c in range(channels)]).alias("lsd"))
+    halo = (0 if per_section else reach, reach, reach)
+    return blocks.BlockOp(all_channels, (label,), block, halo, halo, "array<double>").apply(df, shape, "lsd")
 
 
 def training_sample(model: str, df: DataFrame, shape, neighborhood: Sequence, sigma: float = 2.0, grow: int = 1, seed: int = 0, in_neighborhood: Sequence | None = None) -> dict[str, DataFrame]:

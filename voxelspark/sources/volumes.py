@@ -211,6 +211,36 @@ def read_lut_json(spark: SparkSession, path: str) -> DataFrame:
     return text.select(F.explode(F.from_json(inner, kind)).alias("k", "ids")).select(F.explode("ids").alias("fragment"), F.col("k").cast("long").alias("segment"))
 
 
+def read_lut_npz(spark: SparkSession, path: str) -> DataFrame:
+    """(fragment, segment) of ``.npz`` files, each with one array of two rows: fragments and their segments."""
+
+    def parse(frames):
+        import io
+
+        import numpy as np
+        import pandas as pd
+
+        for pdf in frames:
+            for raw in pdf["content"]:
+                with np.load(io.BytesIO(raw)) as f:
+                    pairs = f[f.files[0]].astype(np.int64)
+                yield pd.DataFrame({"fragment": pairs[0], "segment": pairs[1]})
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(parse, "fragment long, segment long")
+
+
+def write_lut(lut: DataFrame, path: str) -> None:
+    """(fragment, segment), one row a fragment, as parquet; a fragment with two segments keeps the smaller."""
+    lut.groupBy("fragment").agg(F.min("segment").alias("segment")).write.mode("overwrite").parquet(path)
+
+
+def read_lut(spark: SparkSession, path: str) -> DataFrame:
+    """A lookup table by its ending: ``.json``, ``.npz``, or else what :func:`write_lut` wrote."""
+    if path.endswith(".json"):
+        return read_lut_json(spark, path)
+    return read_lut_npz(spark, path) if path.endswith(".npz") else spark.read.parquet(path).select("fragment", "segment")
+
+
 def write_results(df: DataFrame, path: str) -> None:
     """Metrics as JSON lines, one for each segmentation."""
     df.coalesce(1).write.mode("overwrite").json(path)

@@ -25,13 +25,15 @@ def read_blocks(spark: SparkSession, path: str, schema: str, files_per_batch: in
 
 
 def drain(stats: DataFrame, name: str, checkpoint: str) -> DataFrame:
-    """Runs the stream over what is there and returns the final statistics; the checkpoint makes it resumable."""
-    q = stats.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Runs the stream over what is there and returns the final statistics, written beside the checkpoint, which makes it resumable."""
+    place = f"{checkpoint}-out"
+    write = lambda df, _: df.write.mode("overwrite").parquet(place)
+    q = stats.writeStream.outputMode("complete").foreachBatch(write).queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     try:
         q.awaitTermination()
     finally:
         q.stop()
-    return stats.sparkSession.table(name)
+    return stats.sparkSession.read.schema(stats.schema).parquet(place)
 
 
 def event_windows(events: DataFrame, size: str = "1 day", late: str = "2 days") -> DataFrame:
