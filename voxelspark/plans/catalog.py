@@ -801,7 +801,7 @@ def _aff_target_sql(offsets, slab: int) -> str:
     off = "off(o, dz, dy, dx) AS (VALUES " + ", ".join(f"({k}, {z}, {y}, {x})" for k, (z, y, x) in enumerate(offsets)) + ")"
     part = f"a.z // {slab}" if slab else "0"
     return f"""WITH {VOXELS}, {off}, w AS (SELECT *, min("label") OVER a la, max("label") OVER a ha, min("label") OVER b lb, max("label") OVER b hb FROM vox WINDOW a AS (PARTITION BY z, x ORDER BY y RANGE BETWEEN 1 PRECEDING AND 1 FOLLOWING), b AS (PARTITION BY z, y ORDER BY x RANGE BETWEEN 1 PRECEDING AND 1 FOLLOWING)),
-g AS (SELECT z, y, x, CASE WHEN least(la, lb) = greatest(ha, hb) THEN "label" ELSE 0 END l FROM w), a AS (SELECT a.z, a.y, a.x, o, (a.l = b.l AND a.l <> 0)::INT aff FROM g a, off JOIN g b ON b.z = a.z + dz AND b.y = a.y + dy AND b.x = a.x + dx),
+g AS MATERIALIZED (SELECT z, y, x, CASE WHEN least(la, lb) = greatest(ha, hb) THEN "label" ELSE 0 END l FROM w), a AS MATERIALIZED (SELECT a.z, a.y, a.x, o, (a.l = b.l AND a.l <> 0)::INT aff FROM (SELECT g.*, o, z + dz nz, y + dy ny, x + dx nx FROM g, off) a JOIN g b ON b.z = nz AND b.y = ny AND b.x = nx),
 f AS (SELECT o, {part} slab, aff, count(*) n FROM a a GROUP BY 1, 2, 3), k AS (SELECT *, sum(n) OVER (PARTITION BY o, slab) t, count(*) OVER (PARTITION BY o, slab) c FROM f)
 SELECT z, y, x, a.o, a.aff, round(t / (c * n), 8) + 0.0 weight FROM a JOIN k ON k.o = a.o AND slab = {part} AND k.aff = a.aff"""
 
