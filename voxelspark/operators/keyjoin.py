@@ -21,7 +21,9 @@ def join_counted(rows: DataFrame, table: DataFrame, on: list[str], total: int, c
     hot = table.where(F.col(count) > bound).select(*on, *[F.col(c).alias(f"_hot_{c}") for c in more])
     met = rows.join(F.broadcast(hot), on, "left")
     spread = F.when(F.col(f"_hot_{count}").isNull(), F.lit(0)).otherwise(1 + F.pmod(F.xxhash64(*rows.columns), F.lit(1 << 20)).cast("int"))
-    cold = table.where(F.col(count) <= bound).select(*on, F.lit(0).alias("_spread"), *[F.col(c).alias(f"_cold_{c}") for c in more])
+    # 0 for every row, but not a literal: that would be folded away, and the join dealt by the key alone
+    zero = F.when(F.col(count) < 0, 1).otherwise(0)
+    cold = table.where(F.col(count) <= bound).select(*on, zero.alias("_spread"), *[F.col(c).alias(f"_cold_{c}") for c in more])
     met = met.withColumn("_spread", spread).join(cold, [*on, "_spread"], "left")
     both = [F.coalesce(f"_hot_{c}", f"_cold_{c}").alias(c) for c in more]
     return met.where(F.col(f"_hot_{count}").isNotNull() | F.col(f"_cold_{count}").isNotNull()).select(*rows.columns, *both)
