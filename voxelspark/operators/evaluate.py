@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.roi import AXES
+from ..plans.lineage import cut, stored
+from .components import connected_components
 from .neighbors import shifted_pairs
 
 
@@ -153,23 +155,72 @@ def min_cut_edits(fragments: DataFrame, edges: DataFrame, sites: DataFrame) -> D
     that several skeletons touch, fragments touched by more than one are unsplittable and dropped; with at
     most one skeleton left nothing is to cut. The skeletons' sets are then cut apart one after another, each by
     a minimum cut of weights 1 - score from the others; splits counts the cut edges, extra merges the pieces
-    beyond one per skeleton. A segment's graph is one task's work.
+    beyond one per skeleton.
+
+    Touched fragments have their side given, so a minimum cut falls apart into one for each island: fragments that
+    no skeleton touches and that hang together without those that one does. Of an island of one fragment the cut is a
+    comparison of sums, in decimals of 12 places; a larger island's graph is one task's work.
     """
-    touched = sites.join(fragments, "fragment").select("segment", "fragment", "skel").distinct()
+    touched = cut(sites.where("skel is not null").join(fragments, "fragment").select("segment", "fragment", "skel").distinct())
     merging = touched.groupBy("segment").agg(F.count_distinct("skel").alias("k")).where("k > 1").select("segment")
-    f = fragments.join(merging, "segment", "left_semi")
-    e = edges.select("u", "v", F.coalesce("score", F.lit(1.0)).alias("score")).join(f.withColumnRenamed("fragment", "u"), "u").join(f.select(F.col("fragment").alias("v"), F.col("segment").alias("s2")), "v").where("segment = s2")
-    rows = e.select("segment", "u", "v", "score", F.lit(None).cast("long").alias("skel")).unionByName(touched.join(merging, "segment", "left_semi").select("segment", F.col("fragment").alias("u"), F.lit(None).cast("long").alias("v"), F.lit(None).cast("double").alias("score"), "skel"))
-
-    def cut_one(pdf):
+    owner = touched.groupBy("segment", "fragment").agg(F.min("skel").alias("skel"), (F.min("skel") != F.max("skel")).alias("shared"))
+    split = owner.where("not shared").groupBy("segment").agg(F.count_distinct("skel").alias("skels")).where("skels > 1")
+    nodes = fragments.join(split.select("segment"), "segment", "left_semi").join(owner, ["segment", "fragment"], "left")
+    nodes = cut(nodes.where("shared is null or not shared").select("fragment", "segment", "skel"))
+
+    weight = F.greatest(F.lit(1e-9), 1 - F.coalesce("score", F.lit(1.0))).cast("decimal(28,12)")
+    at = lambda c: nodes.select(F.col("fragment").alias(c), F.col("segment").alias(f"s{c}"), F.col("skel").alias(f"k{c}"))
+    pairs = edges.where("u <> v").select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"), weight.alias("w")).join(at("a"), "a").join(at("b"), "b").where("sa = sb")
+    # dealt by b as the join left them, so repeated edges are summed without another shuffle
+    pairs = pairs.groupBy("b", "a", F.col("sa").alias("segment"), "ka", "kb").agg(F.sum("w").alias("w"))
+    with stored(pairs) as pairs:
+        inner = pairs.where("ka is null and kb is null")
+        islands = cut(connected_components(inner, "a", "b"))
+        # (segment, x, y, skel, w): free fragments and their touched neighbours
+        half = lambda x, y: pairs.where(f"k{x} is null and k{y} is not null").select("segment", F.col(x).alias("x"), F.col(y).alias("y"), F.col(f"k{y}").alias("skel"), "w")
+        rim = half("b", "a").unionByName(half("a", "b"))
+        sums = rim.groupBy("segment", "x", "skel").agg(F.sum("w").alias("w"), F.count("*").alias("n"))
+        alone = sums.join(islands.select(F.col("node").alias("x")), "x", "left_anti")
+        later = Window.partitionBy("segment", "x").orderBy(F.desc("skel")).rowsBetween(Window.unboundedPreceding, -1)
+        alone = alone.withColumn("later", F.coalesce(F.sum("w").over(later), F.lit(0)))
+        alone = alone.groupBy("segment", "x").agg(F.min(F.when(F.col("w") > F.col("later"), F.col("skel"))).alias("side"))
+        sides = cut(alone if islands.isEmpty() else alone.unionByName(_island_sides(inner, sums, islands)))
+        stay = cut(_uncut(pairs, rim, sides))
+        counts = cut(pairs.groupBy("segment").agg(F.count("*").alias("all")))
+    kept = stay.groupBy("segment").agg(F.count("*").alias("kept"))
+    comps = connected_components(stay, "x", "y")
+    ends = nodes.where("skel is not null").join(comps, F.col("fragment") == F.col("node"), "left")
+    pieces = ends.groupBy("segment").agg(F.count_distinct(F.coalesce("component", "fragment")).alias("pieces"))
+    got = merging.join(split, "segment", "left").join(counts, "segment", "left").join(kept, "segment", "left").join(pieces, "segment", "left")
+    none = lambda c: F.coalesce(c, F.lit(0))
+    return cut(got.select("segment", (none(F.col("all")) - none(F.col("kept"))).alias("splits"), F.greatest(F.lit(0), none(F.col("pieces") - F.col("skels"))).cast("long").alias("extra_merges")))
+
+
+def _island_sides(inner: DataFrame, sums: DataFrame, islands: DataFrame) -> DataFrame:
+    """(segment, x, side) of the fragments of islands of several: the skeleton that each stays with; null where none touches its island."""
+    at = islands.select(F.col("node").alias("x"), F.col("component").alias("island"))
+    none = F.lit(None).cast("long")
+    rows = inner.select("segment", F.col("a").alias("x"), F.col("b").alias("y"), none.alias("skel"), "w").unionByName(sums.select("segment", "x", none.alias("y"), "skel", "w")).join(at, "x")
+    rows = rows.select("segment", "island", "x", "y", F.col("skel").cast("long").alias("skel"), F.col("w").cast("double").alias("w"))
+
+    def one(pdf):
         import pandas as pd
 
-        from .kernels import multiway_cut
+        from .kernels import island_sides
+
+        got = island_sides(pdf)
+        return pd.DataFrame({"segment": pdf["segment"].iloc[0], "x": list(got), "side": pd.array(list(got.values()), "Int64")})
+
+    return rows.groupBy("island").applyInPandas(one, "segment long, x long, side long")
 
-        splits, extra = multiway_cut(pdf)
-        return pd.DataFrame({"segment": [pdf["segment"].iloc[0]], "splits": [splits], "extra_merges": [extra]})
 
-    return rows.groupBy("segment").applyInPandas(cut_one, "segment long, splits long, extra_merges long")
+def _uncut(pairs: DataFrame, rim: DataFrame, sides: DataFrame) -> DataFrame:
+    """(segment, x, y) of the edges with both ends on one side."""
+    out = rim.select("segment", "x", "y", F.col("skel").alias("side")).join(sides, ["segment", "x", "side"], "left_semi").select("segment", "x", "y")
+    touching = pairs.where("ka = kb").select("segment", F.col("a").alias("x"), F.col("b").alias("y"))
+    at = lambda c: sides.select(F.col("x").alias(c), F.col("side").alias(f"{c}_side"))
+    inner = pairs.where("ka is null and kb is null").select("segment", F.col("a").alias("x"), F.col("b").alias("y")).join(at("x"), "x").join(at("y"), "y")
+    return out.unionByName(touching).unionByName(inner.where("x_side <=> y_side").select("segment", "x", "y"))
 
 
 def edits_needed(nodes: DataFrame, labels: DataFrame, cuts: DataFrame) -> DataFrame:

@@ -459,6 +459,28 @@ def multiway_cut(pdf) -> tuple[int, int]:
     return cuts, max(0, parts - len(groups))
 
 
+def island_sides(pdf) -> dict:
+    """For each fragment of an island the skeleton it stays with, by cuts one after another as in :func:`multiway_cut`; None for all where no skeleton touches the island.
+
+    Rows: (x, y, w) within the island, (x, skel, w) summed over a skeleton's fragments.
+    """
+    cap: dict = {}
+    for x, y, s, w in zip(pdf["x"].tolist(), pdf["y"].tolist(), pdf["skel"].tolist(), pdf["w"].tolist()):
+        a, b = (0, int(x)), (0, int(y)) if y == y else (1, int(s))
+        cap.setdefault(a, {})[b] = cap.get(a, {}).get(b, 0) + w
+        cap.setdefault(b, {})[a] = cap.get(b, {}).get(a, 0) + w
+    names = sorted(x for kind, x in cap if kind)
+    got = {x: names[-1] if names else None for kind, x in cap if not kind}
+    for k, s in enumerate(names[:-1]):
+        side = _source_side(cap, {(1, s)}, {(1, t) for t in names[k + 1 :]})
+        got |= {x: s for kind, x in side if not kind}
+        for a in side:
+            for b in cap.pop(a, {}):
+                if b not in side:
+                    del cap[b][a]
+    return got
+
+
 def _source_side(cap: dict, source: set, sink: set) -> set:
     """Nodes on the source's side of a minimum cut (the least such set), by blocking flows on shortest paths."""
     flow = {a: dict(m) for a, m in cap.items()}

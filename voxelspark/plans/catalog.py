@@ -12,6 +12,7 @@ from ..operators import augment, blocks, evaluate, graphs, neighbors, objects, r
 from ..sources import derive, volumes
 from . import prepare, training
 from ..sources.derive import AFFS, GRAPH, LUT, SKELETONS, VOXELS
+from .lineage import cut, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -588,9 +589,10 @@ def merge_split_stats(spark, d):
 def edits_needed(spark, d):
     # a supplier is 0, which in labels is background: ids count from 1 here
     g = derive.graph(spark, d).select((F.col("u") + 1).alias("u"), (F.col("v") + 1).alias("v"), "score")
-    lut = graphs.components_at(_nodes(g), g, 0.03)
-    sites = g.select(((F.col("u") - 1) % 7).alias("skel"), F.col("u").alias("fragment")).distinct()
-    cuts = evaluate.min_cut_edits(lut, g, sites)
+    with stored(g) as g:
+        lut = cut(graphs.components_at(_nodes(g), g, 0.03))
+        sites = cut(g.select(((F.col("u") - 1) % 7).alias("skel"), F.col("u").alias("fragment")).distinct())
+        cuts = evaluate.min_cut_edits(lut, g, sites)
     nodes = sites.select(F.col("fragment").alias("node"), "skel")
     return evaluate.edits_needed(nodes, lut.select(F.col("fragment").alias("node"), "segment"), cuts)
 
