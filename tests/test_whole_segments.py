@@ -4,7 +4,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from voxelspark.operators import evaluate, kernels
+from voxelspark.operators import evaluate, graphs, kernels
 
 
 def _frame(spark, rows, schema):
@@ -43,3 +43,43 @@ def test_cuts_by_islands_are_those_of_whole_segments(spark, monkeypatch, seed, f
         monkeypatch.setattr(type(f.groupBy()), "applyInPandas", lambda *_: pytest.fail("a segment is gathered in one task"))
     got = {r["segment"]: (r["splits"], r["extra_merges"]) for r in evaluate.min_cut_edits(f, e, s).collect()}
     assert got == _by_kernel(fragments, edges, sites)
+
+
+def _mutex_by_hand(nodes, edges):
+    cluster, apart = {x: {x} for x in nodes}, set()
+    for u, v, w in sorted((e for e in edges if e[2]), key=lambda e: (-abs(e[2]), e[0], e[1])):
+        a, b = cluster[u], cluster[v]
+        if a is b or any((x, y) in apart for x in a for y in b):
+            continue
+        if w < 0:
+            apart |= {(u, v), (v, u)}
+            continue
+        a |= b
+        cluster |= dict.fromkeys(b, a)
+    return {x: min(c) for x, c in cluster.items()}
+
+
+def _signed(seed, n, m):
+    rng = np.random.default_rng(seed)
+    ends = {tuple(sorted(int(x) for x in rng.choice(n, 2, replace=False))) for _ in range(m)}
+    return [(u, v, float(rng.integers(-6, 7)) / 8) for u, v in sorted(ends)]
+
+
+def test_mutex_partition_reads_parts_as_streams(spark, monkeypatch):
+    edges = [(u + 1000 * part, v + 1000 * part, w) for part in range(5) for u, v, w in _signed(part, 30, 120)]
+    edges += [(7000, 7001, None), (7001, 7002, 0.0), (7003, 2, -0.5), (2, 1003, -0.9)]  # no score is no edge
+    nodes = sorted({x for e in edges for x in e[:2]})
+    e, n = _frame(spark, edges, "u long, v long, score double"), _frame(spark, [(x,) for x in nodes], "id long")
+    monkeypatch.setattr(type(n.groupBy()), "applyInPandas", lambda *_: pytest.fail("a part's edges are gathered in one frame"))
+    assert {r["fragment"]: r["segment"] for r in graphs.mutex_partition(n, e).collect()} == _mutex_by_hand(nodes, edges)
+
+
+@pytest.mark.parametrize("short, long, known", [(48, 1024, 1 << 20), (1, 4, 3)])
+def test_mutex_sets_however_long_the_lists(monkeypatch, short, long, known):
+    for name, value in (("SHORT", short), ("LONG", long), ("KNOWN", known)):
+        monkeypatch.setattr(kernels.MutexSets, name, value)
+    for seed in range(20):
+        edges = _signed(seed, 40, 300)
+        u, v, w = (np.array(x) for x in zip(*edges))
+        want = _mutex_by_hand(range(40), edges)
+        assert kernels.mutex_watershed(40, u, v, w).tolist() == [want[x] for x in range(40)]

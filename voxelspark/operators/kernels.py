@@ -6,6 +6,7 @@ Arrays are (z, y, x) or (y, x); labels are integers with 0 as background; neighb
 from __future__ import annotations
 
 import heapq
+from array import array
 
 import numpy as np
 
@@ -287,25 +288,104 @@ class Union:
         return min(a, b)
 
 
+class MutexSets:
+    """Clusters of n nodes under edges that come by falling |w|, some at a time: positive ones join, negative ones forbid.
+
+    A cluster's list holds a node of each cluster that it must not join, so a forbidden pair takes four bytes at
+    either end. Of two lists the shorter one answers and moves; long ones are cut to one entry a cluster as they double.
+    """
+
+    SHORT, LONG, KNOWN = 48, 1024, 1 << 20
+
+    def __init__(self, n: int):
+        self.up, self.far = array("q", range(n)), [None] * n
+        self.due: dict[int, int] = {}
+        self.known: set[int] = set()  # pairs of roots with long lists that were found forbidden
+
+    def roots(self, x: np.ndarray) -> np.ndarray:
+        up = np.frombuffer(self.up, np.int64) if len(self.up) else np.empty(0, np.int64)
+        now = up[x]
+        while ((then := up[now]) != now).any():
+            now = then
+        return now
+
+    def take(self, u: np.ndarray, v: np.ndarray, w: np.ndarray) -> None:
+        a, b = self.roots(u), self.roots(v)
+        open_ = (a != b) & (w != 0)
+        up, far = self.up, self.far
+        for i, j, apart in zip(a[open_].tolist(), b[open_].tolist(), (w[open_] < 0).tolist()):
+            while up[i] != i:
+                up[i] = i = up[up[i]]
+            while up[j] != j:
+                up[j] = j = up[up[j]]
+            if i == j:
+                continue
+            if apart:
+                for x, y in ((i, j), (j, i)):
+                    if far[x] is None:
+                        far[x] = array("i", (y,))
+                    else:
+                        far[x].append(y)
+                        if len(far[x]) >= self.LONG:
+                            self._shorten(x)
+            elif not self._forbidden(i, j):
+                self._join(i, j)
+
+    def _shorten(self, i: int) -> None:
+        if len(self.far[i]) >= self.due.get(i, 0):
+            self.far[i] = array("i", np.unique(self.roots(np.array(self.far[i]))).astype(np.int32).tobytes())
+            self.due[i] = 2 * len(self.far[i])
+
+    def _forbidden(self, i: int, j: int) -> bool:
+        up, few, other = self.up, self.far[i], j
+        if few is None or self.far[j] is None:
+            return False
+        if len(few) > len(self.far[j]):
+            few, other = self.far[j], i
+        if len(few) <= self.SHORT:
+            for x in few:
+                while up[x] != x:
+                    up[x] = x = up[up[x]]
+                if x == other:
+                    return True
+            return False
+        pair = min(i, j) * len(up) + max(i, j)
+        if pair in self.known:
+            return True
+        if not (self.roots(np.array(few)) == other).any():
+            return False
+        if len(self.known) >= self.KNOWN:
+            self.known.clear()
+        self.known.add(pair)
+        return True
+
+    def _join(self, i: int, j: int) -> None:
+        far = self.far
+        if len(far[i] or ()) < len(far[j] or ()):
+            i, j = j, i
+        self.up[j] = i
+        if far[j] is not None:
+            far[i].extend(far[j])
+            far[j] = None
+            self.due.pop(j, None)
+            if len(far[i]) >= self.LONG:
+                self._shorten(i)
+
+    def least(self) -> np.ndarray:
+        """For each node its cluster's least node."""
+        at = np.arange(len(self.up))
+        root, out = self.roots(at), np.full(len(at), len(at))
+        np.minimum.at(out, root, at)
+        return out[root]
+
+
 def mutex_watershed(n: int, u: np.ndarray, v: np.ndarray, w: np.ndarray) -> np.ndarray:
     """For each of n nodes its cluster's least node: edges by falling |w|; positive ones join, negative ones forbid."""
-    sets, mutex = Union(n), [set() for _ in range(n)]
-    for k in np.lexsort((v, u, -np.abs(w))).tolist():
-        a, b = sets.find(int(u[k])), sets.find(int(v[k]))
-        if a == b or w[k] == 0 or b in mutex[a]:
-            continue
-        if w[k] < 0:
-            mutex[a].add(b)
-            mutex[b].add(a)
-            continue
-        c = sets.join(a, b)
-        d = b if c == a else a
-        for m in mutex[d]:
-            mutex[m].discard(d)
-            mutex[m].add(c)
-        mutex[c] |= mutex[d]
-        mutex[d] = set()
-    return np.array([sets.find(i) for i in range(n)])
+    sets, by = MutexSets(n), np.lexsort((v, u, -np.abs(w)))
+    for k in range(0, len(by), 1 << 14):
+        at = by[k : k + (1 << 14)]
+        sets.take(u[at], v[at], w[at])
+    return sets.least()
 
 
 def grid_edges(affs: np.ndarray, offsets, strides=None, mask: np.ndarray | None = None, randomized: bool = False, seed: int = 0):

@@ -764,7 +764,8 @@ def agglomeration_history(spark, d):
 @query()
 def mutex_graph(spark, d):
     g = derive.graph(spark, d).select("u", "v", (0.05 - F.coalesce("score", F.lit(0.05))).alias("score"))
-    return graphs.mutex_partition(_nodes(g), g)
+    with stored(g) as g:
+        return cut(graphs.mutex_partition(_nodes(g), g))
 
 
 @query()
