@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.roi import AXES
-from ..plans.lineage import cut, stored
+from ..plans.lineage import cut, stored, sweep
 from .components import connected_components
 from .neighbors import shifted_pairs
 
@@ -185,6 +185,7 @@ def min_cut_edits(fragments: DataFrame, edges: DataFrame, sites: DataFrame) -> D
         alone = alone.withColumn("later", F.coalesce(F.sum("w").over(later), F.lit(0)))
         alone = alone.groupBy("segment", "x").agg(F.min(F.when(F.col("w") > F.col("later"), F.col("skel"))).alias("side"))
         sides = cut(alone if islands.isEmpty() else alone.unionByName(_island_sides(inner, sums, islands)))
+        sweep(pairs.sparkSession)
         stay = cut(_uncut(pairs, rim, sides))
         counts = cut(pairs.groupBy("segment").agg(F.count("*").alias("all")))
     kept = stay.groupBy("segment").agg(F.count("*").alias("kept"))

@@ -57,6 +57,7 @@ def stored(df: DataFrame) -> Iterator[DataFrame]:
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark)}/{uuid4().hex}"
     try:
+        sweep(spark)
         df.write.parquet(path)
         sweep(spark)
         yield spark.read.parquet(path)
